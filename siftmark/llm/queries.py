@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import op9_quality_rules
+from . import op3_sharding, op8_mixing, op9_quality_rules
 
-_MODULES = (op9_quality_rules,)
+_MODULES = (op3_sharding, op8_mixing, op9_quality_rules)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
