@@ -46,7 +46,8 @@ def dense_rank_within(df: DataFrame, group: str, order: list[str], part: Column,
 
     `part` cuts each group into slices that follow `order` (slice first, then order inside it), so a hot
     group spreads over as many tasks as it has slices.  Slice sizes are counted first and turned into offsets;
-    the offsets join on the same keys that the row numbers are dealt by, so rows are shuffled once.
+    the offsets join on the same keys that the row numbers are dealt by, so rows are shuffled once.  Neither `group`
+    nor `part` may be null.
     """
     sliced = df.withColumn("__part", part)
     sizes = sliced.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -56,7 +57,7 @@ def dense_rank_within(df: DataFrame, group: str, order: list[str], part: Column,
     )
     inside = Window.partitionBy(group, "__part").orderBy(*order)
     ranked = sliced.withColumn("__r", F.row_number().over(inside) - 1)
-    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & F.col("__part").eqNullSafe(F.col("__p")), "left")
+    joined = ranked.join(offsets, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p")))
     return joined.withColumn(out, (F.col("__r") + F.col("__offset")).cast("long")).drop("__part", "__r", "__offset", "__g", "__p")
 
 
