@@ -116,7 +116,7 @@ def decode_wav(media: bytes) -> bytes:
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "n_frames long, mel array<float>, segments array<struct<start_ms:long,end_ms:long>>, mean_mel array<float>"
+    "n_frames long, mel binary, segments array<struct<start_ms:long,end_ms:long>>, mean_mel array<float>"
 )
 
 
@@ -138,7 +138,7 @@ def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mels, energy = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
             spans = [{"start_ms": s * HOP * 1000 // RATE_OUT, "end_ms": e * HOP * 1000 // RATE_OUT} for s, e in segments(energy)]
             fixed = np.pad(mels, ((0, -len(mels) % PATCH), (0, 0)), constant_values=np.log(np.float32(1e-6)))
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), fixed.ravel(), spans, mels.mean(0)))
+            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), fixed.astype("<f4").tobytes(), spans, mels.mean(0)))
             if len(rows) == 256:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -152,7 +152,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Features of stored files: mel is row-major with shape (n, PATCH, MELS), the last patch padded with silence;
+    """Features of stored files: mel holds row-major 32-bit floats of shape (n, PATCH, MELS), the last patch padded with silence;
     segments are time spans.  One pass, no exchange; equal bytes give equal values."""
     return media.mapInPandas(_analyse, FEATURES)
 
@@ -161,7 +161,7 @@ def tensor_table(pdf: pd.DataFrame) -> pa.Table:
     """Rows of audio_features as an Arrow table with one fixed-shape tensor (PATCH, MELS) for each patch, and its time span."""
     ids, starts, patches = [], [], []
     for doc_id, mel in zip(pdf["doc_id"], pdf["mel"], strict=True):
-        for k, patch in enumerate(np.asarray(mel, np.float32).reshape(-1, PATCH, MELS)):
+        for k, patch in enumerate(np.frombuffer(mel, "<f4").reshape(-1, PATCH, MELS)):
             ids.append(doc_id)
             starts.append(k * PATCH * HOP * 1000 // RATE_OUT)
             patches.append(patch)
@@ -176,7 +176,7 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the media column of every document."""
     rows = audio_features(encode_media(documents(spark, sf_dir)))
     feature = F.to_json(F.struct(
-        F.lit(RATE_OUT).alias("rate"), "n_frames", F.lit([PATCH, MELS]).alias("shape"), F.crc32(F.to_json(F.transform("mel", lambda x: F.round(x, 2))).cast("binary")).alias("mel_crc32"),
+        F.lit(RATE_OUT).alias("rate"), "n_frames", F.lit([PATCH, MELS]).alias("shape"), F.crc32("mel").alias("mel_crc32"),
         F.transform("mean_mel", lambda x: F.round(x, 2)).alias("mean_mel"), "segments",
     ))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
