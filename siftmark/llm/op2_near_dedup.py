@@ -158,6 +158,15 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node may be among `nodes`: a filter of 2 ** 23 bits, broadcast as at most 2 ** 17 rows of 64 bits.
+    Its size is fixed; where it fills up it only lets more rows through to the join that follows."""
+    word, bit = F.pmod("node", F.lit(1 << 17)), F.expr("CAST(shiftrightunsigned(node, 17) & 63 AS INT)")
+    bits = nodes.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    met = rows.join(F.broadcast(bits), word == F.col("__word")).where(F.expr("shiftright(__bits, CAST(shiftrightunsigned(node, 17) & 63 AS INT)) & 1 = 1"))
+    return met.drop("__word", "__bits")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, n_shingles, component_id and kept for every row.
 
@@ -176,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("node", F.xxhash64("doc_id", F.xxhash64("t")))
     signed = materialise(read.mapInPandas(_signatures, SIGNATURE))
-    heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"))
+    heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"), F.min("doc_id").alias("low"))
     reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "bands", "sketch").dropDuplicates(["node"])
     met = reps.select("node", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -184,12 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
     near = components(blocks.mapInPandas(lambda b: _joined(_sketch_edges(b)), "a long, b long"))
     sized = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    texts = in_blocks(read.select("node", "t").join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
+    texts = in_blocks(_likely(read.select("node", "t"), near).join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
     links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(lambda b: _joined(_confirmed(b)), "a long, b long"))
-    classed = signed.select("doc_id", "node", "n_shingles", "set_key").join(heads, "set_key", "left").join(links.withColumnRenamed("node", "head"), "head", "left")
-    classed = classed.withColumn("class", F.coalesce("root", "head", "node"))
-    least = classed.groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = classed.join(least, "class").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    # Classes are settled among distinct sets; rows meet them once, by set.
+    classed = heads.join(links.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("root", "head"))
+    least = classed.groupBy("class").agg(F.min("low").alias("component_id"))
+    of_set = classed.join(least, "class").select("set_key", "component_id")
+    out = signed.select("doc_id", "node", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "node", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
