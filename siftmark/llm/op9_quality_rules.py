@@ -56,15 +56,16 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     return F.sort_array(F.transform(marked, lambda p: p["x"]["i"]))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with every count the table may name.
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document with every count the table may name; with carry, the whole row goes along as struct __row.
 
     A null text is an empty one: all counts are 0.  Repeated rows give repeated results; other columns of docs are
     ignored, whatever their names.  Three narrow projections, no exchange: each array is made once and dropped.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    cut = base.select("doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    row = ["__row"] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *(F.struct(*docs.columns).alias(c) for c in row))
+    cut = base.select("doc_id", "t", *row, words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
     # xxhash64 chains its arguments, so ("a","bc") and ("ab","c") differ.
     windows = F.transform(
@@ -82,10 +83,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09\r]*$"))).cast("long").alias("n_ellipsis_lines"),
         F.sort_array(windows).alias("s"),
+        *row,
     )
     placed = counted.withColumn("s", _repeat_words(F.col("s"), F.col("s")))
     gaps = F.zip_with(F.col("s"), F.slice(F.col("s"), F.lit(2), F.greatest(F.size("s"), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return placed.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("s")
+    done = placed.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("s")
+    # A filter on a verdict must not be pushed below the arrays, where each lambda would make them anew for every word:
+    # a projection that isn't deterministic to the optimizer stops it.
+    return done.withColumn("n_words", F.when(F.spark_partition_id() >= 0, F.col("n_words")))
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
@@ -98,17 +103,22 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return F.concat_ws(",", *failed)
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, the counts, base_failed, failed_rules and kept.
 
     base_failed: fewer than 50 words, or over half of the words stand in repeated 3-word windows.  kept: not
     base_failed and no rule of the table fails.  Null or empty text: 0 words, base_failed.  Empty table: no rows.
     """
-    m = measures(docs, id_col, text_col)
+    m = measures(docs, id_col, text_col, carry)
     bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.withColumns({"base_failed": bad, "failed_rules": compile_rules(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the table keeps, with the columns of docs; no join and no exchange."""
+    return quality_rules(docs, rules, id_col, text_col, carry=True).where("kept").select("__row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
