@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 
 import numpy as np
@@ -41,6 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are done: it does once the driver has collected the
+    frames that nothing refers to any more, which otherwise may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dense_rank_within(df: DataFrame, group: str, order: list[str], part: Column, out: str) -> DataFrame:
     """Number rows 0, 1, ... within `group` without bringing a group into one task.
 

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialise, mix64
+from .common import WordHashes, documents, materialise, mix64, release_shuffles
 
 #: Text bytes of a chunk and of a server's share, about: they bound a task's memory.  Raise both for more than terabytes.
-CHUNK_BYTES, SERVER_BYTES = 6_000_000, 12_000_000
+CHUNK_BYTES, SERVER_BYTES = 4_000_000, 10_000_000
 #: Documents are dealt to folds by CRC-32 of the id: HELD_OUT isn't learned from; DEV is, and its counts, each less the
 #: document's own, are what the mixture weights are learned on.
 FOLDS, HELD_OUT, DEV = 5, 1, 2
@@ -25,35 +25,41 @@ FOLDS, HELD_OUT, DEV = 5, 1, 2
 BUCKETS, GRID, ROUNDS = 24, 0.5, 60
 _END = np.uint64(0x9AE16A3B2F90404F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ONE = np.uint64(1)
 
 
 class Tokens(NamedTuple):
-    """Tokens of a chunk's documents one after another, each with its end; keys index the chunk's sorted distinct keys."""
+    """Tokens of a chunk's documents one after another, each with its end; word, pair and context are places in the
+    sorted distinct keys of words and of pairs."""
 
     starts: np.ndarray
     lengths: np.ndarray
-    keys: np.ndarray
+    word_keys: np.ndarray
+    pair_keys: np.ndarray
     word: np.ndarray
     pair: np.ndarray
     context: np.ndarray
 
 
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(x, return_inverse=True)
+    return keys, at.astype(np.int32)
+
+
 def tokens_of(texts: list[str], hashes: WordHashes) -> Tokens:
     each = [np.append(hashes(t.encode().lower().split()), _END) for t in texts]
     lengths = np.array([len(x) for x in each])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    w = np.concatenate(each)
-    before = np.concatenate(([_END], w[:-1]))
+    words = np.concatenate(each)
+    del each
+    before = np.concatenate(([_END], words[:-1]))
     before[starts] = _END  # an end stands before every document
-    # The lowest bit tells words (1) from pairs (0).
-    words, pairs = mix64(w) | _ONE, mix64(mix64(before * _STEP) + w) & ~_ONE
-    keys, at = np.unique(np.concatenate((words, pairs)), return_inverse=True)
-    word, pair = at[: len(w)], at[len(w) :]
-    end = np.searchsorted(keys, mix64(np.array([_END])) | _ONE)[0]
+    # Words keep 64 bits.  Pairs have 56: of 10 ** 12 distinct pairs one in 70,000 would share a count with another.
+    pair_keys, pair = _places(mix64(mix64(before * _STEP) + words) >> np.uint64(8))
+    word_keys, word = _places(mix64(words))
+    end = np.searchsorted(word_keys, mix64(np.array([_END])))[0]
     context = np.concatenate(([end], word[:-1]))
     context[starts] = end
-    return Tokens(starts, lengths, keys, word, pair, context)
+    return Tokens(starts, lengths, word_keys, pair_keys, word, pair, context)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -70,23 +76,30 @@ TOTALS = "chunk long, server long, totals binary, tokens long, vocabulary long"
 
 
 def _send(key: tuple, pdf: pd.DataFrame, servers: int) -> pd.DataFrame:
+    """A row for each server: pairs go to the servers 0..servers-1 by range, words to the next ones."""
     t = tokens_of(pdf["t"].tolist(), WordHashes())
     learned = np.repeat(pdf["fold"].to_numpy() != HELD_OUT, t.lengths)
-    counts = np.bincount(t.word[learned], minlength=len(t.keys)) + np.bincount(t.pair[learned], minlength=len(t.keys))
-    bounds = [(i << 64) // servers for i in range(1, servers)]
-    cuts = [0, *np.searchsorted(t.keys, np.array(bounds, np.uint64)).tolist(), len(t.keys)]
-    rows = []
-    for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if b > a:
-            keys = t.keys[a:b].copy()
-            keys[1:] -= t.keys[a : b - 1]
-            rows.append((s, key[0], _pack(keys), _pack(counts[a:b]), 0))
+    rows, first = [], 0
+    for all_keys, at, bits, n in ((t.pair_keys, t.pair, 56, servers), (t.word_keys, t.word, 64, word_servers(servers))):
+        counts = np.bincount(at[learned], minlength=len(all_keys))
+        bounds = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
+        cuts = [0, *np.searchsorted(all_keys, bounds).tolist(), len(all_keys)]
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), first):
+            if b > a:
+                keys = all_keys[a:b].copy()
+                keys[1:] -= all_keys[a : b - 1]
+                rows.append((s, key[0], _pack(keys), _pack(counts[a:b]), 0))
+        first += n
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
     out.loc[0, "tokens"] = int(learned.sum())
     return out
 
 
-def _add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def word_servers(servers: int) -> int:
+    return -(-servers // 6)
+
+
+def _add_up(key: tuple, pdf: pd.DataFrame, servers: int) -> pd.DataFrame:
     keys = [np.cumsum(_unpack(b)) for b in pdf["keys"]]
     counts = np.concatenate([_unpack(b) for b in pdf["counts"]])
     known, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -94,12 +107,15 @@ def _add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     np.add.at(totals, at, counts)
     ends = np.cumsum([len(k) for k in keys])
     out = pd.DataFrame({"chunk": pdf["chunk"], "server": key[0], "totals": [_pack(totals[x]) for x in np.split(at, ends[:-1])], "tokens": pdf["tokens"], "vocabulary": 0})
-    out.loc[out.index[0], "vocabulary"] = int(((totals > 0) & (known & _ONE > 0)).sum())
+    if key[0] >= servers:
+        out.loc[out.index[0], "vocabulary"] = int((totals > 0).sum())
     return out
 
 
-def _totals(pdf: pd.DataFrame) -> np.ndarray:
-    return np.concatenate([_unpack(b) for b in pdf.sort_values("server")["totals"]]).astype(np.float64)
+def _totals(pdf: pd.DataFrame, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of the chunk's pairs and of its words, in the order of their keys."""
+    got = np.concatenate([_unpack(b) for b in pdf.sort_values("server")["totals"]]).astype(np.float64)
+    return got[: len(t.pair_keys)], got[len(t.pair_keys) :]
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -118,17 +134,19 @@ def _evidence(key: tuple, pdf: pd.DataFrame, sums: pd.DataFrame, tokens: int, vo
     """How often each cell of (bucket, pair ratio, word ratio) to the uniform estimate occurs, each document's own counts deleted."""
     if not len(pdf):
         return pd.DataFrame({c.split()[0]: [] for c in EVIDENCE.split(", ")}, dtype=np.int64)
-    t, total = tokens_of(pdf["t"].tolist(), WordHashes()), _totals(sums)
+    t = tokens_of(pdf["t"].tolist(), WordHashes())
+    pairs, words = _totals(sums, t)
     doc = np.repeat(np.arange(len(pdf)), t.lengths)
 
-    def rest(at: np.ndarray, own: np.ndarray) -> np.ndarray:
-        n = np.int64(len(t.keys))
+    def rest(total: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n = np.int64(len(total))
         known, counts = np.unique(doc * n + own, return_counts=True)
         where = np.minimum(np.searchsorted(known, doc * n + at), len(known) - 1)
         return total[at] - np.where(known[where] == doc * n + at, counts[where], 0)
 
-    context = rest(t.context, t.word)
-    pair, word = _ratio(rest(t.pair, t.pair), context), _ratio(rest(t.word, t.word), tokens - t.lengths[doc].astype(np.float64))
+    context = rest(words, t.context, t.word)
+    pair = _ratio(rest(pairs, t.pair, t.pair), context)
+    word = _ratio(rest(words, t.word, t.word), tokens - t.lengths[doc].astype(np.float64))
     cell = lambda p: np.where(p > 0, np.clip(np.rint(np.log(np.maximum(p, 1e-300) * (vocabulary + 1)) / GRID) + 32, 1, 127), 0).astype(np.int64)
     cells, n = np.unique((bucket_of(context) * 128 + cell(pair)) * 128 + cell(word), return_counts=True)
     return pd.DataFrame({"bucket": cells >> 14, "pair": cells >> 7 & 127, "word": cells & 127, "n": n})
@@ -160,10 +178,11 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score(key: tuple, pdf: pd.DataFrame, sums: pd.DataFrame, tokens: int, vocabulary: int, weights: np.ndarray) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-    t, total = tokens_of(pdf["t"].tolist(), WordHashes()), _totals(sums)
-    c, context = total[t.word], total[t.context]
-    w = weights[bucket_of(context)]
-    p = w[:, 0] * _ratio(total[t.pair], context) + w[:, 1] * c / max(tokens, 1) + w[:, 2] / (vocabulary + 1)
+    t = tokens_of(pdf["t"].tolist(), WordHashes())
+    pairs, words = _totals(sums, t)
+    c, context = words[t.word], words[t.context]
+    bucket = bucket_of(context)
+    p = weights[bucket, 0] * _ratio(pairs[t.pair], context) + weights[bucket, 1] * c / max(tokens, 1) + weights[bucket, 2] / (vocabulary + 1)
     base = np.log10((c + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
     add = lambda x: np.add.reduceat(x, t.starts)
     return pd.DataFrame({
@@ -198,7 +217,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("t")), F.lit(chunks)) * 2 + (F.col("fold") == DEV).cast("long")
     dealt = read.withColumn("chunk", chunk)
     sent = dealt.groupBy("chunk").applyInPandas(_with_key(_send, servers=servers), SENT)
-    totals = materialise(sent.groupBy("server").applyInPandas(_add_up, TOTALS))
+    totals = materialise(sent.groupBy("server").applyInPandas(_with_key(_add_up, servers=servers), TOTALS))
+    release_shuffles(docs.sparkSession)
     tokens, vocabulary = (int(x or 0) for x in totals.agg(F.sum("tokens"), F.sum("vocabulary")).first())
     dev = dealt.where(F.col("fold") == DEV).groupBy("chunk").cogroup(totals.where("chunk % 2 = 1").groupBy("chunk"))
     cells = dev.applyInPandas(_with_sums(_evidence, tokens=tokens, vocabulary=vocabulary), EVIDENCE)
