@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,8 +46,10 @@ def materialise(df: DataFrame) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that are done: it does once the driver has collected the
     frames that nothing refers to any more, which otherwise may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second pass finds what the first has let go of on the other side
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside us
 
 
 def dense_rank_within(df: DataFrame, group: str, order: list[str], part: Column, out: str) -> DataFrame:

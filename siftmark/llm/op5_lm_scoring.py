@@ -203,6 +203,11 @@ def _with_sums(f, **fixed):
     return lambda key, pdf, sums: f(key, pdf, sums, **fixed)
 
 
+def _exchange(dealt: DataFrame, servers: int) -> DataFrame:
+    sent = dealt.groupBy("chunk").applyInPandas(_with_key(_send, servers=servers), SENT)
+    return materialise(sent.groupBy("server").applyInPandas(_with_key(_add_up, servers=servers), TOTALS))
+
+
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The scores of every row under a model of all rows outside the held-out fold.
 
@@ -216,9 +221,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Development documents have chunks of their own, so learning the weights reads those alone.
     chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("t")), F.lit(chunks)) * 2 + (F.col("fold") == DEV).cast("long")
     dealt = read.withColumn("chunk", chunk)
-    sent = dealt.groupBy("chunk").applyInPandas(_with_key(_send, servers=servers), SENT)
-    totals = materialise(sent.groupBy("server").applyInPandas(_with_key(_add_up, servers=servers), TOTALS))
-    release_shuffles(docs.sparkSession)
+    totals = _exchange(dealt, servers)
+    release_shuffles(docs.sparkSession)  # what was exchanged for the totals is as large as the texts
     tokens, vocabulary = (int(x or 0) for x in totals.agg(F.sum("tokens"), F.sum("vocabulary")).first())
     dev = dealt.where(F.col("fold") == DEV).groupBy("chunk").cogroup(totals.where("chunk % 2 = 1").groupBy("chunk"))
     cells = dev.applyInPandas(_with_sums(_evidence, tokens=tokens, vocabulary=vocabulary), EVIDENCE)
