@@ -1,6 +1,8 @@
-"""All registered queries of the retrieval engine and their SQL."""
+"""All registered queries of the retrieval engine and the SQL that each is held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import evaluation, retrieval  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
