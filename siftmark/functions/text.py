@@ -6,6 +6,7 @@ lemmas and parts of speech can be put in its place where one is installed (see `
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,39 +21,45 @@ STOP_WORDS = (
 #: White space that is stripped, as most languages define it; Spark's trim strips spaces alone.
 BLANKS = " \t\n\r\f"
 
-#: An analyzer turns a text column into an array of lemmas, duplicates kept.
-Analyzer = Callable[[Column], Column]
-
-LETTERS, LETTERS_OR_DIGITS = r"\p{L}+", r"[\p{L}\p{N}]+"
 
 
-def _runs(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+class Analyzer(NamedTuple):
+    """Lemmas are the matches of a pattern in the lower-cased text that pass a test."""
 
+    pattern: str
+    keep: Callable[[Column], Column]
 
-def bag_a(text: Column) -> Column:
-    """Lemmas without stop words, duplicates kept (analyzer A; per phrase as a set it is A')."""
-    return F.filter(_runs(text, LETTERS), lambda x: ~x.isin(STOP_WORDS))
+    def runs(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
 
+    def bag(self, text: Column) -> Column:
+        """All lemmas as an array, duplicates kept."""
+        return F.filter(self.runs(text), self.keep)
 
-def bag_c(text: Column) -> Column:
-    """Alphabetic lemmas of three letters or more without stop words, duplicates kept."""
-    return F.filter(_runs(text, LETTERS), lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS))
+    def set(self, text: Column) -> Column:
+        """Distinct lemmas as an array, in the order of their first occurrence."""
+        return F.filter(F.array_distinct(self.runs(text)), self.keep)
 
+    def rows(self, df: DataFrame, keys: list[str], text: str, distinct: bool = False) -> DataFrame:
+        """keys and lemma, a row for each lemma of a text (each once if distinct).  No exchange: duplicates go inside the row,
+        and the test runs on rows, in generated code."""
+        runs = self.runs(F.col(text))
+        return df.select(*keys, F.explode(F.array_distinct(runs) if distinct else runs).alias("lemma")).where(self.keep(F.col("lemma")))
 
-def set_b(text: Column, has_vector: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
-    """Distinct alphabetic tokens of more than two letters that have a vector (analyzer B)."""
-    return F.array_distinct(F.filter(bag_c(text), has_vector))
 
+LETTERS, LETTERS_OR_DIGITS = r"\p{L}+", r"[\p{L}\p{N}]+"
 
-def set_c(text: Column) -> Column:
-    """Distinct lemmas of analyzer C; analyzer E, whose rule is unknown, is taken to be the same."""
-    return F.array_sort(F.array_distinct(bag_c(text)))
+#: Without stop words (A; A' is the same per phrase, as a set).
+A = Analyzer(LETTERS, lambda x: ~x.isin(STOP_WORDS))
+#: Of three letters or more, without stop words (C; E, whose rule is unknown, is taken to be the same).
+C = Analyzer(LETTERS, lambda x: (F.length(x) >= 3) & ~x.isin(STOP_WORDS))
+#: With numbers, without stop words (D).
+D = Analyzer(LETTERS_OR_DIGITS, lambda x: ~x.isin(STOP_WORDS))
 
 
-def set_d(text: Column) -> Column:
-    """Distinct lemmas with numbers kept (analyzer D)."""
-    return F.array_distinct(F.filter(_runs(text, LETTERS_OR_DIGITS), lambda x: ~x.isin(STOP_WORDS)))
+def analyzer_b(has_vector: Callable[[Column], Column]) -> Analyzer:
+    """C for words that have a vector (B)."""
+    return Analyzer(LETTERS, lambda x: C.keep(x) & has_vector(x))
 
 
 def whitespace_set(text: Column) -> Column:
@@ -88,10 +95,9 @@ def clean_chunk(*parts: Column) -> Column:
     return F.concat_ws(" ", *(F.when(strip(p) != "", p) for p in parts))
 
 
-def lemmas(df: DataFrame, key: str, text: str, analyzer: Analyzer = bag_c, lemma: str = "lemma", n: str = "n") -> DataFrame:
-    """key, lemma, n: how often a text holds a lemma.  Counts are made before anything is exchanged."""
-    each = df.select(F.col(key), F.explode(analyzer(F.col(text))).alias(lemma))
-    return each.groupBy(key, lemma).agg(F.count(F.lit(1)).alias(n))
+def counts(df: DataFrame, key: str, text: str, analyzer: Analyzer = C) -> DataFrame:
+    """key, lemma, n: how often a text holds a lemma."""
+    return analyzer.rows(df, [key], text).groupBy(key, "lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 def key_phrases(df: DataFrame, key: str, text: str, most: int = 40) -> DataFrame:
@@ -112,8 +118,7 @@ def key_phrases(df: DataFrame, key: str, text: str, most: int = 40) -> DataFrame
 
 def ngrams(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """key, gram: distinct runs of `size` lower-cased letter tokens."""
-    words = _runs(F.col(text), LETTERS)
-    cut = df.select(F.col(key), words.alias("w"))
+    cut = df.select(F.col(key), A.runs(F.col(text)).alias("w"))
     # slices side by side: no lambda looks the array up
     parts = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - size + 1, F.lit(0))) for k in range(size)]
     return cut.select(key, F.explode(F.array_distinct(F.transform(F.arrays_zip(*(p.alias(f"g{k}") for k, p in enumerate(parts))), lambda x: F.concat_ws(" ", *(x[f"g{k}"] for k in range(size))))) ).alias("gram"))

@@ -53,10 +53,11 @@ def label_statistics(lemma_sets: DataFrame, label: str, labels: DataFrame) -> Da
     return spread.crossJoin(F.broadcast(size)).select("lemma", label, "tf", micro(F.ln(F.col("__n") / F.col("__df"))).alias("idf"))
 
 
-def label_scores(bags: DataFrame, stats: DataFrame, q: str, label: str, weight: Column | None = None) -> DataFrame:
-    """q, label, score: over the query's bag (lemma, n), the sum of n * tf * idf."""
-    w = F.col("n") * F.col("tf") * F.col("idf") if weight is None else weight
-    return bags.join(stats.where("idf > 0"), "lemma").groupBy(q, label).agg(F.sum(w).alias("score"))
+def label_scores(lemmas: DataFrame, stats: DataFrame, q: str, label: str, weight: Column | None = None) -> DataFrame:
+    """q, label, score: over the query's lemmas, a row each time one occurs, the sum of tf * idf (or of `weight`).
+    Occurrences go to the join as they are: counting them first would cost an exchange of its own."""
+    w = F.col("tf") * F.col("idf") if weight is None else weight
+    return lemmas.join(stats.where("idf > 0"), "lemma").groupBy(q, label).agg(F.sum(w).alias("score"))
 
 
 def dense(scores: DataFrame, queries: DataFrame, labels: DataFrame, q: str, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import bag_c, ngrams
+from siftmark.functions.text import C, ngrams
 
 from .ranking import micro
 
@@ -41,7 +41,7 @@ KIND_WEIGHTS = {"pair": 3, "noun": 2, "verb": 1}
 def cues(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, kind, cue.  Stand-ins that need no parser: a pair is two words side by side, a noun a content word of eight
     letters or more, a verb one of five to seven."""
-    words = texts.select(key, F.explode(F.array_distinct(bag_c(F.col(text)))).alias("cue"))
+    words = C.rows(texts, [key], text, distinct=True).withColumnRenamed("lemma", "cue")
     kind = F.when(F.length("cue") >= 8, "noun").when(F.length("cue") >= 5, "verb")
     pairs = ngrams(texts, key, text, 2).select(key, F.lit("pair").alias("kind"), F.col("gram").alias("cue"))
     return words.select(key, kind.alias("kind"), "cue").where("kind IS NOT NULL").unionByName(pairs)

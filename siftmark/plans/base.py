@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import STOP_WORDS, lemmas
+from siftmark.functions.text import STOP_WORDS, C
 from siftmark.operators import ranking as rk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,15 +64,25 @@ class Data:
 
     @cached_property
     def lemmas(self) -> DataFrame:
-        return lemmas(self.docs, "doc_id", "text")
+        """doc_id, lemma: each lemma of each document once."""
+        return C.rows(self.docs, ["doc_id"], "text", distinct=True)
 
     @cached_property
-    def bags(self) -> DataFrame:
-        return lemmas(self.prompts, "doc_id", "text")
+    def prompt_lemmas(self) -> DataFrame:
+        return C.rows(self.prompts, ["doc_id"], "text", distinct=True)
+
+    @cached_property
+    def prompt_words(self) -> DataFrame:
+        """doc_id, lemma: a row each time a request has a lemma."""
+        return C.rows(self.prompts, ["doc_id"], "text")
 
     @cached_property
     def catalog_lemmas(self) -> DataFrame:
-        return lemmas(self.catalog, "doc_id", "text").join(self.catalog.select("doc_id", "task", "bucket"), "doc_id")
+        return C.rows(self.catalog, ["doc_id", "task", "bucket"], "text", distinct=True)
+
+    @cached_property
+    def item_lemmas(self) -> DataFrame:
+        return C.rows(self.table("benchmark"), ["item_id"], "text", distinct=True)
 
     @cached_property
     def task_stats(self) -> DataFrame:
@@ -84,15 +94,15 @@ class Data:
 
     @cached_property
     def flat(self) -> DataFrame:
-        return rk.dense(rk.label_scores(self.bags, self.task_stats, "doc_id", "task"), self.prompts, self.tasks, "doc_id", "task")
+        return rk.dense(rk.label_scores(self.prompt_words, self.task_stats, "doc_id", "task"), self.prompts, self.tasks, "doc_id", "task")
 
     @cached_property
     def gate(self) -> DataFrame:
-        return rk.dense(rk.label_scores(self.bags, self.bucket_stats, "doc_id", "bucket"), self.prompts, self.buckets, "doc_id", "bucket")
+        return rk.dense(rk.label_scores(self.prompt_words, self.bucket_stats, "doc_id", "bucket"), self.prompts, self.buckets, "doc_id", "bucket")
 
     @cached_property
     def lexical(self) -> DataFrame:
-        return rk.dense(rk.label_scores(self.bags, self.task_stats, "doc_id", "task", F.col("idf")), self.prompts, self.tasks, "doc_id", "task")
+        return rk.dense(rk.label_scores(self.prompt_lemmas, self.task_stats, "doc_id", "task", F.col("idf")), self.prompts, self.tasks, "doc_id", "task")
 
     @cached_property
     def bonus(self) -> DataFrame:

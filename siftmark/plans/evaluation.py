@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import bag_c, whitespace_set
+from siftmark.functions.text import C, whitespace_set
 from siftmark.operators import evaluation as ev
 from siftmark.operators import ranking as rk
 from siftmark.operators import tagging as tg
@@ -204,7 +204,7 @@ def satisfy_metrics(x: Data) -> DataFrame:
     )
     rows = catalog_rows(x).select("doc_id", satisfied(F.lit("open_source")).alias("open"), "task").join(x.catalog.select("doc_id", "source", "lang"), "doc_id")
     idf = rk.document_frequency(x.lemmas, "doc_id")
-    found = rk.sparse_scores(x.bags.withColumnRenamed("doc_id", "q"), x.lemmas.join(x.catalog.select("doc_id"), "doc_id", "left_semi"), idf, "q", "doc_id")
+    found = rk.sparse_scores(x.prompt_lemmas.withColumnRenamed("doc_id", "q"), C.rows(x.catalog, ["doc_id"], "text", distinct=True), idf, "q", "doc_id")
     cut = rk.top_k(found, "q", "score", 50, "doc_id").drop("rank").join(rows, "doc_id").join(ask.select("q", "hard"), "q").where("NOT hard OR open")
     top = rk.top_k(cut, "q", "score", 5, "doc_id").select("q", "doc_id", "task", "source", "lang", "rank")
     v = ask.join(top, "q", "left").where(F.size("tasks") > 0)
@@ -266,7 +266,7 @@ def lexical_echo_audit(x: Data) -> DataFrame:
     """Among requests whose bucket the lexical ranker finds: does one lemma make up half of the score, and is it rare?"""
     best = rk.best(x.lexical, "doc_id", "task").select("doc_id", "task")
     right = best.join(x.tasks, "task").join(x.gold, "doc_id").where("bucket = gold_bucket").select("doc_id")
-    parts = x.bags.join(best, "doc_id").join(x.task_stats.where("idf > 0"), ["lemma", "task"]).select("doc_id", "lemma", "idf")
+    parts = x.prompt_lemmas.join(best, "doc_id").join(x.task_stats.where("idf > 0"), ["lemma", "task"]).select("doc_id", "lemma", "idf")
     size = x.tasks.agg(rk.micro(F.ln(F.count(F.lit(1)) / F.lit(float(ev.RARE_DF)))).alias("__high"))
     found = ev.dominating(parts, "doc_id", "lemma", "idf").crossJoin(F.broadcast(size))
     return ev.echo_report(right, found, F.col("value") >= F.col("__high"), "doc_id")
@@ -350,7 +350,7 @@ PARTS["allowed"] = ("c", _with_stops(PARTS["allowed"][1]))
 def allowed(x: Data) -> DataFrame:
     """Lemmas of all clean text: the catalog's and the pages'."""
     clean = x.catalog.select("text").unionByName(x.table("pages").select(F.regexp_replace("html", "<[^>]*>", " ").alias("text")))
-    return clean.select(F.explode(bag_c(F.col("text"))).alias("lemma")).distinct()
+    return C.rows(clean, [], "text").distinct()
 
 
 @query(sql("SELECT lemma FROM allowed", "allowed"))
@@ -364,7 +364,7 @@ PARTS["offends"] = ("bl allowed", "SELECT item_id, EXISTS (SELECT 1 FROM bl WHER
 @query(sql("SELECT item_id, offends FROM offends", "offends"))
 def provenance_gate(x: Data) -> DataFrame:
     """Benchmark items as cues: one offends if a lemma of its isn't in the clean text."""
-    cues = x.table("benchmark").select("item_id", F.array_distinct(bag_c(F.col("text"))).alias("lemmas"))
+    cues = x.table("benchmark").select("item_id", C.set(F.col("text")).alias("lemmas"))
     return ev.provenance(cues, allowed(x), "item_id", "lemmas")
 
 
@@ -384,8 +384,7 @@ def cue_echo(x: Data) -> DataFrame:
     items = F.broadcast(x.table("benchmark").select("item_id", F.lower("text").alias("t")))
     held = x.docs.select("doc_id", F.lower("text").alias("d")).join(items, F.contains("d", "t")).select("item_id", "doc_id")
     rare = x.lemmas.groupBy("lemma").agg(F.count(F.lit(1)).alias("df")).where("df <= 2").select("lemma")
-    own = x.table("benchmark").select("item_id", F.explode(F.array_distinct(bag_c(F.col("text")))).alias("lemma"))
-    shared = own.join(x.lemmas.join(rare, "lemma", "left_semi"), "lemma").select("item_id", "doc_id")
+    shared = x.item_lemmas.join(x.lemmas.join(rare, "lemma", "left_semi"), "lemma").select("item_id", "doc_id")
     bound = held.unionByName(shared).distinct()
     return bound.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).withColumn("is_unique", F.col("n") == 1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.labels import family
-from siftmark.functions.text import LETTERS, key_phrases, lemmas, repaired, strip, whitespace_set
+from siftmark.functions.text import C, counts, key_phrases, repaired, strip, whitespace_set
 from siftmark.operators import constraints as cs
 from siftmark.operators import ranking as rk
 from siftmark.operators import vector as vc
@@ -22,7 +22,7 @@ PARTS["sparse_ranked"] = ("sparse", "SELECT *, row_number() OVER (PARTITION BY i
 
 
 def sparse(x: Data, k: int | None) -> DataFrame:
-    found = rk.sparse_scores(lemmas(x.table("benchmark"), "item_id", "text"), x.lemmas, rk.document_frequency(x.lemmas, "doc_id"), "item_id", "doc_id")
+    found = rk.sparse_scores(x.item_lemmas, x.lemmas, rk.document_frequency(x.lemmas, "doc_id"), "item_id", "doc_id")
     return rk.top_k(found, "item_id", "score", k, "doc_id")
 
 
@@ -147,7 +147,7 @@ def prior_signal(x: Data) -> DataFrame:
   LEFT JOIN (SELECT DISTINCT doc_id, task FROM pl JOIN (SELECT lemma, task FROM tst WHERE length(lemma) >= 9) USING (lemma)) s ON s.doc_id = f.doc_id AND s.task = f.task) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, task) = 1""", "flat pl tst"))
 def term_boost(x: Data) -> DataFrame:
     """A quarter of a place for labels that share a long term with the request."""
-    shared = x.bags.where("length(lemma) >= 9").join(x.task_stats, "lemma").select("doc_id", "task").distinct().withColumn("boost", F.lit(0.25))
+    shared = x.prompt_lemmas.where("length(lemma) >= 9").join(x.task_stats, "lemma").select("doc_id", "task").distinct().withColumn("boost", F.lit(0.25))
     placed = rk.top_k(x.flat, "doc_id", "score", None, "task").join(shared, ["doc_id", "task"], "left")
     return rk.best(placed.select("doc_id", "task", (-F.col("rank") + F.coalesce("boost", F.lit(0.0))).alias("score")), "doc_id", "task").select("doc_id", "task")
 
@@ -159,7 +159,7 @@ PARTS["best_cosine"] = ("cosine", "SELECT doc_id, task, score FROM cosine QUALIF
 
 
 def cosine(x: Data) -> DataFrame:
-    return rk.cosine_scores(x.bags, x.task_stats, "doc_id", "task")
+    return rk.cosine_scores(counts(x.prompts, "doc_id", "text"), x.task_stats, "doc_id", "task")
 
 
 @query(sql("SELECT p.doc_id, b.task, score, b.task IS NULL AS abstained FROM p LEFT JOIN best_cosine b ON p.doc_id = b.doc_id", "p best_cosine"))
@@ -254,7 +254,7 @@ WORDS = (("open_source", "hard", ("the and", "that")), ("edge", "hard", ("with",
 ) + ") AS w(name, hardness, surface) WHERE contains(' ' || CASE WHEN contains(surface, ' ') THEN t ELSE l END || ' ', ' ' || surface || ' ')")
 def constraint_detect(x: Data) -> DataFrame:
     """Constraints named in texts, with surfaces that the corpus has."""
-    read = x.docs.select("doc_id", "text", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)), " ").alias("l"))
+    read = x.docs.select("doc_id", "text", F.array_join(C.runs(F.col("text")), " ").alias("l"))
     return cs.detect(read, cs.lexicon(x.spark, WORDS), "doc_id", "text", "l")
 
 
@@ -282,8 +282,8 @@ def picks(x: Data, **options) -> DataFrame:
     items = x.vectors.where("vec_id < 200").select(F.col("vec_id").alias("item_id"), "vector")
     rows = x.vectors.select(F.col("vec_id").alias("doc_id"), "vector")
     dense = vc.similarities(items, rows, "item_id", "doc_id").select("item_id", "doc_id", F.round(F.col("sim") / 1e6, 4).alias("dense"))
-    stats = rk.label_statistics(x.lemmas.join(x.docs.select("doc_id", "task"), "doc_id"), "task", x.docs.select("task").distinct())
-    predicted = rk.top_k(rk.label_scores(lemmas(x.table("benchmark"), "item_id", "text"), stats, "item_id", "task"), "item_id", "score", 2, "task")
+    stats = rk.label_statistics(C.rows(x.docs, ["doc_id", "task"], "text", distinct=True), "task", x.docs.select("task").distinct())
+    predicted = rk.top_k(rk.label_scores(C.rows(x.table("benchmark"), ["item_id"], "text"), stats, "item_id", "task"), "item_id", "score", 2, "task")
     return cs.hybrid_pick(found, catalog_rows(x), dense, ["open_source"], ["edge", "fast"], predicted, "item_id", "doc_id", **options)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from siftmark.functions.text import lemmas
+from siftmark.functions.text import C
 from siftmark.operators.ranking import sparse_scores, top_k
 
 
@@ -18,7 +18,7 @@ def serve(requests: DataFrame, postings: DataFrame, idf: DataFrame, sink: Callab
     the sink gets its number, so a sink that replaces by number sees each answer once."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        found = sparse_scores(lemmas(batch, "id", "text"), postings, idf, "id", "row")
+        found = sparse_scores(C.rows(batch, ["id"], "text", distinct=True), postings, idf, "id", "row")
         sink(top_k(found, "id", "score", k, "row"), number)
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()

@@ -27,21 +27,26 @@ def one(spark, expr, **cols):
 TEXT = "The Tiny tiny models of 2024, ON-device; los modelos pequeños!"
 
 
-@pytest.mark.parametrize("analyzer, want", [
-    (tx.bag_a, ["tiny", "tiny", "models", "device", "modelos", "pequeños"]), (tx.bag_c, ["tiny", "tiny", "models", "device", "modelos", "pequeños"]),
-    (tx.set_b, ["tiny", "models", "device", "modelos", "pequeños"]), (tx.set_c, ["device", "modelos", "models", "pequeños", "tiny"]), (tx.set_d, ["tiny", "models", "2024", "device", "modelos", "pequeños"]),
+@pytest.mark.parametrize("lemmas, want", [
+    (tx.A.bag, ["tiny", "tiny", "models", "device", "modelos", "pequeños"]), (tx.C.bag, ["tiny", "tiny", "models", "device", "modelos", "pequeños"]),
+    (tx.C.set, ["tiny", "models", "device", "modelos", "pequeños"]), (tx.D.set, ["tiny", "models", "2024", "device", "modelos", "pequeños"]),
+    (tx.analyzer_b(lambda x: x.startswith("m")).set, ["models", "modelos"]),
 ])
-def test_analyzers(spark, analyzer, want):
-    assert one(spark, analyzer(F.col("t")), t=TEXT) == want
+def test_analyzers(spark, lemmas, want):
+    assert one(spark, lemmas(F.col("t")), t=TEXT) == want
 
 
-def test_analyzer_b_asks_for_vectors(spark):
-    assert one(spark, tx.set_b(F.col("t"), lambda x: x.startswith("m")), t=TEXT) == ["models", "modelos"]
+def test_short_lemmas_differ_between_a_and_c(spark):
+    assert one(spark, tx.A.bag(F.col("t")), t="ab abc") == ["ab", "abc"]
+    assert one(spark, tx.C.bag(F.col("t")), t="ab abc") == ["abc"]
 
 
-def test_short_lemmas_differ_between_a_and_c(spark):
-    assert one(spark, tx.bag_a(F.col("t")), t="ab abc") == ["ab", "abc"]
-    assert one(spark, tx.bag_c(F.col("t")), t="ab abc") == ["abc"]
+def test_rows_of_lemmas_need_no_exchange(spark):
+    df = spark.createDataFrame([(1, "one two two"), (2, None)], "k int, t string")
+    rows = tx.C.rows(df, ["k"], "t", distinct=True)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "one"), (1, "two")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in tx.counts(df, "k", "t").collect()) == [(1, "one", 1), (1, "two", 2)]
 
 
 def test_caps_and_choices(spark):
