@@ -22,10 +22,13 @@ TRAIN_ROWS = 40_000
 DIMENSIONS = 1 << 18
 #: A feature counts if so many training documents have it.
 LEAST_DOCS = 5
+CLEAR = 3.0
 EPOCHS, BATCH, RATE = 12, 512, 0.05
 #: English insults; other languages are learned from the label votes.
 INSULTS = "stupid idiot moron loser trash scum pathetic worthless disgusting clown".split()
 _STOPS = {w.encode() for w in STOP_WORDS}
+#: Words that tell an English text, in which alone the English insults say anything when they are absent.
+_ENGLISH = set(b"the of and to that is it was with".split())
 _INSULTS = {w.encode() for w in INSULTS}
 _EDGE = b".,;:!?\"'()[]{}"
 
@@ -36,6 +39,7 @@ class Profile(NamedTuple):
     words: int
     distinct: int
     stops: int
+    english: int
     insults: int
     symbols: float
     upper: float
@@ -55,7 +59,7 @@ def profile(text: str) -> tuple[Profile, set[bytes]]:
     n, letters, upper = max(1, len(raw)), len(raw) - len(raw.translate(None, _LETTERS)), len(raw) - len(raw.translate(None, _UPPER))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return Profile(
-        len(words), len(known), len(known & _STOPS), len(known & _INSULTS), (n - len(raw.translate(None, b"#*$%&|<>"))) / n,
+        len(words), len(known), len(known & _STOPS), len(known & _ENGLISH), len(known & _INSULTS), (n - len(raw.translate(None, b"#*$%&|<>"))) / n,
         upper / max(1, letters), letters / n, 1 - len(set(lines)) / max(1, len(lines)),
     ), known
 
@@ -76,7 +80,7 @@ QUALITY: dict[str, Callable[[Profile], int]] = {
     "lines": lambda p: _vote(p.same_lines > 0.4, False),
 }
 TOXIC: dict[str, Callable[[Profile], int]] = {
-    "any_insult": lambda p: _vote(p.insults == 0 and p.stops >= 3, p.insults > 0),
+    "any_insult": lambda p: _vote(p.insults == 0 and p.english >= 3, p.insults > 0),
     "insults": lambda p: _vote(False, p.insults > 1),
 }
 ASPECTS = (QUALITY, TOXIC)
@@ -132,9 +136,13 @@ def _index(feature: bytes) -> int:
     return xxhash.xxh3_64_intdigest(feature) & (DIMENSIONS - 1)
 
 
+#: Bytes of the stems that a longer word has as features.
+STEMS = (4, 6)
+
+
 def word_features(word: bytes) -> tuple[int, ...]:
-    """A word and, if it is long, its stem of five bytes."""
-    return (_index(word), _index(b"^" + word[:5])) if len(word) > 5 else (_index(word),)
+    """A word and, if it is longer than they are, its stems."""
+    return (_index(word), *(_index(b"^" + word[:n]) for n in STEMS if len(word) > n))
 
 
 def shape_features(p: Profile) -> list[int]:
@@ -149,13 +157,16 @@ def shape_features(p: Profile) -> list[int]:
 def fit(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on features scaled by their log odds in the two soft classes: (weights, bias).
 
-    Words that don't tell the classes apart scale to nearly nothing, so long texts don't drown a few telling words."""
+    Features whose log odds are within CLEAR standard errors of even odds are left out, so that a long text's many words
+    that tell nothing don't drown a few that do."""
     lengths = np.array([len(r) for r in rows])
     flat, doc = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
     inside = lambda w: np.bincount(flat, w[doc], DIMENSIONS)
     docs, yes, no = np.bincount(flat, minlength=DIMENSIONS), inside(weight * target), inside(weight * (1 - target))
     n_yes, n_no = (weight * target).sum(), (weight * (1 - target)).sum()
-    scale = np.where(docs >= LEAST_DOCS, np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1)), 0)
+    odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
+    error = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+    scale = np.where((docs >= LEAST_DOCS) & (np.abs(odds) > CLEAR * error), odds, 0)
     w, bias, gw, gb = np.full(DIMENSIONS, 0.1), np.log((n_yes + 1) / (n_no + 1)), np.full(DIMENSIONS, 1e-8), 1e-8
     used = scale[flat] != 0
     flat, doc = flat[used], doc[used]
@@ -225,8 +236,10 @@ def _scorer(model: list[tuple[float, bytes]], most: int = 300_000) -> Callable[[
                     if one is None:
                         one = memory[w] = sums(word_features(w)[:1])
                     total += one
-                    if len(w) > 5:
-                        stems.add(w[:5])
+                    if len(w) > STEMS[0]:
+                        stems.add(w[: STEMS[0]])
+                        if len(w) > STEMS[1]:
+                            stems.add(w[: STEMS[1]])
                 for s in stems:
                     key = b"^" + s
                     one = memory.get(key)
