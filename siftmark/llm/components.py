@@ -37,9 +37,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, group: str, node: str, size: str, block: int) -> DataFrame:
-    """rows with lo and hi: groups of up to `block` rows (column `size`) stay whole as (0, 0); a larger one is cut by hash
-    into k blocks, and each pair of blocks becomes a group of its own, so every pair of rows still meets somewhere and
-    none of the groups is larger than twice a block."""
+    """rows with lo and hi: groups whose column `size` (rows, or what they weigh) is up to `block` stay whole as (0, 0); a
+    larger one is cut by hash into k blocks, and each pair of blocks becomes a group of its own, so every pair of rows still
+    meets somewhere and the groups are about two blocks at most."""
     k = F.ceil(F.col(size) / block).cast("long")
     cut = rows.withColumn("__b", F.pmod(F.xxhash64(node), k)).withColumn("__o", F.explode(F.when(k > 1, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array(F.lit(0).cast("long")))))
     return cut.select("*", F.least("__b", "__o").alias("lo"), F.greatest("__b", "__o").alias("hi")).drop("__b", "__o")

@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame | None, rows: int = TRAIN_ROWS, id_
     total = voted.count()
     share = min(1.0, rows / max(1, total))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**15)) < F.lit(round(share * 10**15)))
     fitted = _with_labels(sample, labels).drop("doc_id").repartition(1).mapInPandas(_train(posteriors), MODEL)
     return [(r["bias"], bytes(r["weights"])) for r in sorted(fitted.collect(), key=lambda r: r["aspect"])] or [(0.0, bytes(4 * DIMENSIONS))] * 2, report
 

@@ -21,8 +21,8 @@ BANDS, ROWS = 24, 5
 BITS = 512
 #: Candidates go on if the sketch puts their similarity at this or more: six standard deviations under the threshold.
 SKETCH_FLOOR = 0.65
-#: Rows of a bucket, and texts of a candidate component, that one task compares; larger groups go by pairs of blocks.
-SKETCH_BLOCK, TEXT_BLOCK = 20_000, 4_096
+#: Rows of a bucket, and shingles of a candidate component, that one task compares; larger groups go by pairs of blocks.
+SKETCH_BLOCK, TEXT_BLOCK = 20_000, 3_000_000
 
 _rng = np.random.default_rng(20_240)
 _XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -186,13 +186,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("node", F.xxhash64("doc_id", F.xxhash64("t")))
     signed = materialise(read.mapInPandas(_signatures, SIGNATURE))
     heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"), F.min("doc_id").alias("low"))
-    reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "bands", "sketch").dropDuplicates(["node"])
+    reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
     met = reps.select("node", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = met.join(full, "bucket").join(reps.select("node", "sketch"), "node")
     blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
     near = components(blocks.mapInPandas(lambda b: _joined(_sketch_edges(b)), "a long, b long"))
-    sized = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+    weighed = near.join(reps.select("node", "n_shingles"), "node")
+    sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
     texts = in_blocks(_likely(read.select("node", "t"), near).join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
     links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(lambda b: _joined(_confirmed(b)), "a long, b long"))
     # Classes are settled among distinct sets; rows meet them once, by set.

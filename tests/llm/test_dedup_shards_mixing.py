@@ -54,7 +54,7 @@ def test_near_copies(spark):
 
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(op2, "SKETCH_BLOCK", 7)
-    monkeypatch.setattr(op2, "TEXT_BLOCK", 5)
+    monkeypatch.setattr(op2, "TEXT_BLOCK", 700)  # shingles: about five texts
     check(spark, near_copies(5))
 
 
