@@ -235,7 +235,7 @@ PARTS["db_all"] = ("db_votes lexical bonus", """SELECT l.doc_id, l.task, coalesc
 def db_three_signal_fusion(x: Data) -> DataFrame:
     """Votes of the 50 nearest rows, lexical overlap and half the bucket's affinity, each normalised by its greatest.
     Vectors stand for the documents of the same number; the requests are the 50 first that have one."""
-    queries = x.vectors.where("vec_id % 7 = 0 AND vec_id < 350").select(F.col("vec_id").alias("doc_id"), "vector")
+    queries = x.vectors.where("vec_id % 7 = 0 AND vec_id < 350").select(F.col("vec_id").alias("doc_id"), "vector").join(x.prompts.select("doc_id"), "doc_id", "left_semi")
     corpus = x.vectors.where("vec_id % 7 <> 0").join(x.docs.select(F.col("doc_id").alias("vec_id"), "task"), "vec_id").select("vec_id", "task", "vector")
     votes = vc.vote(vc.nearest(queries, corpus, "doc_id", "vec_id", 50), "doc_id", "task")
     asked = votes.select("doc_id").distinct()
