@@ -119,9 +119,33 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the production mixture."""
     placed = mix(documents(spark, sf_dir).select("doc_id", "source"))
-    return placed.select("doc_id", "source", *(F.col(f"__{c}").alias(c) for c in ("pool", "block", "within", "slot", "position")))
+    names = ("pool", "block", "within", "slot", "position")
+    return placed.select("doc_id", "source", *(F.col(f"__{c}").alias(c) if c == "pool" else F.col(f"__{c}").cast("long").alias(c) for c in names))
+
+
+def _oracle() -> str:
+    """The schedule as a simulation, slot by slot, over a list of pools: p, n (parts), rest and done (blocks), j (blocks since the
+    set of pools last changed, which is t slots ago)."""
+    named = ", ".join(f"'{p}'" for p in TARGETS)
+    parts = " ".join(f"WHEN '{p}' THEN {n}" for p, n in TARGETS.items())
+    return f"""
+WITH RECURSIVE pooled AS (SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '{REST}' END AS pool FROM documents),
+ranked AS (SELECT *, (k // {BLOCK})::BIGINT AS block, (k % {BLOCK})::BIGINT AS within FROM (
+  SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS k FROM pooled)),
+start AS (SELECT list({{'p': pool, 'n': parts, 'rest': rest, 'done': 0::BIGINT, 'j': 0::BIGINT}}) AS s FROM (
+  SELECT pool, (CASE pool {parts} ELSE {REST_PARTS} END)::BIGINT AS parts, count(DISTINCT block)::BIGINT AS rest FROM ranked GROUP BY pool)),
+run AS (
+  SELECT 0::BIGINT AS next, 0::BIGINT AS t, s, NULL::VARCHAR AS pool, NULL::BIGINT AS block FROM start
+  UNION ALL
+  SELECT next + 1, CASE WHEN ends THEN 0 ELSE t + 1 END, list_transform(s, lambda x: {{'p': x.p, 'n': x.n, 'rest': x.rest - (x.p = c)::BIGINT, 'done': x.done + (x.p = c)::BIGINT, 'j': CASE WHEN ends THEN 0 ELSE x.j + (x.p = c)::BIGINT END}}),
+    c, list_filter(s, lambda x: x.p = c)[1].done
+  FROM (SELECT *, list_filter(s, lambda x: x.p = c)[1].rest = 1 AS ends FROM (
+    SELECT *, list_min(list_transform(list_filter(alive, lambda x: x.j * total // x.n <= t), lambda x: {{'due': ((x.j + 1) * total + x.n - 1) // x.n, 'less': -x.n, 'p': x.p}})).p AS c FROM (
+      SELECT *, list_sum(list_transform(alive, lambda x: x.n))::BIGINT AS total FROM (SELECT *, list_filter(s, lambda x: x.rest > 0) AS alive FROM run) WHERE len(alive) > 0)))),
+slots AS (SELECT next - 1 AS slot, pool, block FROM run WHERE pool IS NOT NULL),
+starts AS (SELECT *, (sum(n) OVER (ORDER BY slot) - n)::BIGINT AS first FROM (SELECT slot, pool, block, count(*) AS n FROM ranked JOIN slots USING (pool, block) GROUP BY ALL))
+SELECT doc_id, source, pool, block, within, slot, first + within AS position FROM ranked JOIN starts USING (pool, block)"""
 
 
 QUERIES = {"op8_mixing": op8_mixing}
-#: The schedule is a simulation, which SQL can't express over unknown counts: tests hold it against a plain version.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_mixing": _oracle()}

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from siftmark.llm import op4_line_dedup as op4
+from siftmark.llm import op8_mixing as op8
 from siftmark.llm import op9_quality_rules as op9
 from siftmark.llm import op10_secret_scan as op10
 from siftmark.llm.common import documents as read
@@ -24,7 +25,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("module", [op9, op4])
+@pytest.mark.parametrize("module", [op4, op8, op9, op10])
 def test_equals_its_sql(spark, duck, sf_dir, module):
     (name, f), = module.QUERIES.items()
     rows = f(spark, sf_dir)
