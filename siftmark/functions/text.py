@@ -6,6 +6,7 @@ lemmas and parts of speech can be put in its place where one is installed (see `
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,3 +123,16 @@ def ngrams(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     # slices side by side: no lambda looks the array up
     parts = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - size + 1, F.lit(0))) for k in range(size)]
     return cut.select(key, F.explode(F.array_distinct(F.transform(F.arrays_zip(*(p.alias(f"g{k}") for k, p in enumerate(parts))), lambda x: F.concat_ws(" ", *(x[f"g{k}"] for k in range(size))))) ).alias("gram"))
+
+
+def task_phrases(aliases: DataFrame, hypotheses: DataFrame, signals: DataFrame) -> DataFrame:
+    """task, phrase, kind: all phrases that describe a task, from three tables (task, phrase); each phrase is counted on its own."""
+    kinds = (("alias", aliases), ("hypothesis", hypotheses), ("signal", signals))
+    return reduce(DataFrame.unionByName, (t.select("task", "phrase", F.lit(k).alias("kind")) for k, t in kinds))
+
+
+def task_documents(rows: DataFrame, task: str, parts: list[str], descriptions: DataFrame | None = None) -> DataFrame:
+    """task, text in long form: the clean chunk of every row of a task, and the task's own description.  The text of a task
+    stays spread over rows: whoever counts its lemmas needs no row that holds them all."""
+    out = rows.select(F.col(task).alias("task"), clean_chunk(*(F.col(c) for c in parts)).alias("text"))
+    return out if descriptions is None else out.unionByName(descriptions.select("task", "text"))

@@ -88,6 +88,25 @@ def provenance(cues: DataFrame, allowed: DataFrame, cue: str, lemmas: str) -> Da
     return cues.select(cue).distinct().join(missing.withColumn("__m", F.lit(True)), cue, "left").select(cue, F.coalesce("__m", F.lit(False)).alias("offends"))
 
 
+def bindings(cues: DataFrame, prompts: DataFrame, cue: str, q: str, text: str) -> DataFrame:
+    """cue, q: a cue(cue, lemmas) binds a prompt(q, text, lemmas) whose text holds it or that shares a lemma with it.
+
+    The second half is an equi-join on lemmas; only the first tests every pair, against a dictionary that each task holds."""
+    shared = cues.select(cue, F.explode("lemmas").alias("lemma")).join(prompts.select(q, F.explode("lemmas").alias("lemma")), "lemma").select(cue, q)
+    held = prompts.select(q, F.lower(text).alias("__t")).join(F.broadcast(cues.select(cue)), F.contains("__t", F.lower(cue))).select(cue, q)
+    return shared.unionByName(held).distinct()
+
+
+def cue_echo(bound: DataFrame, prompts: DataFrame, correct: DataFrame, cue: str, q: str) -> DataFrame:
+    """One row: how many right answers fall on prompts that a cue binds which binds no other prompt."""
+    alone = bound.groupBy(cue).agg(F.count(F.lit(1)).alias("__n"), F.min(q).alias(q)).where("__n = 1").select(q).distinct()
+    rows = prompts.select(q).join(correct.select(q, F.lit(True).alias("__ok")), q, "left").join(alone.withColumn("__alone", F.lit(True)), q, "left")
+    n = rows.agg(
+        F.count(F.lit(1)).alias("n_prompts"), F.count("__ok").alias("n_correct"), F.count_if(F.col("__ok") & F.coalesce("__alone", F.lit(False))).alias("n_coincident"), F.count("__alone").alias("n_unique_prompts"),
+    )
+    return n.withColumn("fraction", rate(F.col("n_coincident"), F.col("n_correct")))
+
+
 def concentration(counts: DataFrame, label: str, n: str) -> DataFrame:
     """label, n, rank, share, cumulative: labels by size, the share of all rows and the running share."""
     w = Window.orderBy(F.desc(n), label)  # labels, not rows: a taxonomy

@@ -315,23 +315,46 @@ def blend_degenerate_audit(x: Data) -> DataFrame:
 PARTS["tok"] = ("", r"SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents")
 
 
-@query(sql("""SELECT count(*) AS n, CAST(count_if(q_label = label) AS BIGINT) AS n_correct, CAST(count_if(sim >= 300000) AS BIGINT) AS n_near, CAST(count_if(sim >= 300000 AND rare) AS BIGINT) AS n_degenerate FROM (SELECT near.*, EXISTS (SELECT 1 FROM tok a JOIN tok b USING (token) JOIN (SELECT token FROM tok GROUP BY token HAVING count(*) <= 4) USING (token)
-  WHERE a.doc_id = near.q AND b.doc_id = near.vec_id AND token <> '') AS rare FROM near WHERE rank = 1)""", "near tok"))
+CLOSE = 0.20
+PARTS["rare_pairs"] = ("tok", "SELECT DISTINCT a.doc_id AS q, b.doc_id AS vec_id FROM tok a JOIN tok b USING (token) WHERE a.doc_id < 50 AND token <> '' AND token IN (SELECT token FROM tok GROUP BY token HAVING count(*) <= 4)")
+PARTS["by_centroid"] = ("e cents", "SELECT vec_id AS q, cents.label AS pred FROM e, cents WHERE vec_id < 50 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY CAST(round(list_cosine_similarity(e.v, cents.v) * 1e6) AS BIGINT) DESC, cents.label) = 1")
+
+
+def _degenerate_sql(matched: str) -> str:
+    """matched: q, q_label, pred, vec_id, sim."""
+    close = f"sim >= {round(CLOSE * 1e6)}"
+    return f"""SELECT count(*) AS n, CAST(count_if(ok) AS BIGINT) AS n_correct, CAST(count_if(ok AND {close}) AS BIGINT) AS n_near, CAST(count_if(ok AND {close} AND r.q IS NOT NULL) AS BIGINT) AS n_degenerate, {_rate(f'count_if(ok AND {close} AND r.q IS NOT NULL)', 'count_if(ok)')} AS rate
+  FROM (SELECT *, pred = q_label AS ok FROM ({matched})) m LEFT JOIN rare_pairs r ON r.q = m.q AND r.vec_id = m.vec_id"""
+
+
+@query(sql(_degenerate_sql("SELECT q, q_label, label AS pred, vec_id, sim FROM near WHERE rank = 1"), "near rare_pairs"))
 def vector_degenerate_audit(x: Data) -> DataFrame:
-    """Nearest rows at a cosine of 0.3 or more that also share a token of four texts or fewer.  (The corpus has no near
-    duplicates among vectors, so the threshold of 0.98 is lowered; unit tests plant some.)"""
-    return vector_degenerate(x, 0.30)
+    """Nearest-row arm: right answers whose nearest row is close and shares a token of four texts or fewer.  (No two vectors of
+    the corpus are near duplicates, so the threshold of 0.98 is lowered here; unit tests plant some.)"""
+    top = vc.nearest(x.vector_queries.drop("q_label"), x.vector_corpus, "q", "vec_id", 1)
+    return vector_degenerate(x, top.withColumnRenamed("label", "pred"), CLOSE)
+
 
+@query(sql(_degenerate_sql("SELECT near.q, q_label, pred, vec_id, sim FROM near JOIN by_centroid c ON c.q = near.q AND c.pred = near.label QUALIFY row_number() OVER (PARTITION BY near.q ORDER BY sim DESC, vec_id) = 1"), "near rare_pairs by_centroid"))
+def centroid_degenerate_audit(x: Data) -> DataFrame:
+    """Centroid arm: the nearest member of the label whose centroid is nearest."""
+    best = rk.best(vc.similarities(x.vector_queries, vc.centroids(x.vector_corpus, "label"), "q", "label"), "q", "label", "sim").select("q", F.col("label").alias("pred"))
+    members = vc.similarities(x.vector_queries, x.vector_corpus, "q", "vec_id").join(F.broadcast(best), "q").where(F.col("label") == F.col("pred"))
+    return vector_degenerate(x, rk.top_k(members, "q", "sim", 1, "vec_id"), CLOSE)
 
-def vector_degenerate(x: Data, threshold: float) -> DataFrame:
+
+def vector_degenerate(x: Data, matched: DataFrame, threshold: float) -> DataFrame:
+    """matched: q, pred, vec_id, sim."""
     tokens = x.docs.select("doc_id", F.explode(whitespace_set(F.col("text"))).alias("token"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= ev.RARE_DF)
     own = tokens.join(rare.select("token"), "token", "left_semi")
-    top = vc.nearest(x.vector_queries.drop("q_label"), x.vector_corpus, "q", "vec_id", 1).join(x.vector_queries.select("q", "q_label"), "q")
+    top = matched.select("q", "pred", "vec_id", "sim").join(x.vector_queries.select("q", "q_label"), "q")
     shared = top.select("q", "vec_id").join(own.select(F.col("doc_id").alias("q"), "token"), "q").join(own.select(F.col("doc_id").alias("vec_id"), "token"), ["vec_id", "token"], "left_semi").select("q").distinct()
     rows = top.join(shared.withColumn("rare", F.lit(True)), "q", "left")
-    close = F.col("sim") >= F.lit(round(threshold * rk.MICRO))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q_label") == F.col("label")).alias("n_correct"), F.count_if(close).alias("n_near"), F.count_if(close & F.coalesce("rare", F.lit(False))).alias("n_degenerate"))
+    ok = F.col("pred") == F.col("q_label")
+    close = ok & (F.col("sim") >= F.lit(round(threshold * rk.MICRO)))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_correct"), F.count_if(close).alias("n_near"), F.count_if(close & F.coalesce("rare", F.lit(False))).alias("n_degenerate"))
+    return n.withColumn("rate", ev.rate(F.col("n_degenerate"), F.col("n_correct")))
 
 
 _HTML = r"regexp_replace(html, '<[^>]*>', ' ', 'g')"
@@ -389,6 +412,18 @@ def cue_echo(x: Data) -> DataFrame:
     return bound.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).withColumn("is_unique", F.col("n") == 1)
 
 
+PARTS["lone"] = ("bl pl p", """SELECT DISTINCT q FROM (SELECT cue, min(q) AS q FROM (SELECT c.lemma AS cue, pl.doc_id AS q FROM (SELECT DISTINCT lemma FROM bl) c JOIN pl USING (lemma) UNION SELECT c.lemma, p.doc_id FROM (SELECT DISTINCT lemma FROM bl) c JOIN p ON contains(lower(p.text), c.lemma)) GROUP BY cue HAVING count(*) = 1)""")
+
+
+@query(sql(f"""SELECT (SELECT count(*) FROM p) AS n_prompts, count(*) AS n_correct, CAST(count_if(doc_id IN (SELECT q FROM lone)) AS BIGINT) AS n_coincident, (SELECT count(*) FROM lone) AS n_unique_prompts, {_rate('count_if(doc_id IN (SELECT q FROM lone))', 'count(*)')} AS fraction FROM predicted WHERE bucket = gold_bucket""", "predicted lone p"))
+def cue_echo_fraction(x: Data) -> DataFrame:
+    """Right buckets on requests that a word of the benchmark binds which binds no other request."""
+    cues = x.item_lemmas.select(F.col("lemma").alias("cue")).distinct().withColumn("lemmas", F.array("cue"))
+    prompts = x.prompts.select(F.col("doc_id").alias("q"), "text", C.set(F.col("text")).alias("lemmas"))
+    right = x.predicted.where("bucket = gold_bucket").select(F.col("doc_id").alias("q"))
+    return ev.cue_echo(ev.bindings(cues, prompts, "cue", "q", "text"), prompts, right, "cue", "q")
+
+
 @query(sql("SELECT count(*) AS n, CAST(count_if(answer = task) AS BIGINT) AS hits FROM (SELECT task, last_value(task) OVER (PARTITION BY text ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS answer FROM d)", "d"))
 def memorization_probe(x: Data) -> DataFrame:
     """An exact-lookup predictor misses only texts that stand twice with another label."""

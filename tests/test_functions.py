@@ -258,3 +258,28 @@ def test_request_stream_gives_what_the_batch_gives(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert out[0] == [(0, 1), (1, 1), (1, 2)]
+
+
+def test_task_documents(spark):
+    one_row = lambda p: spark.createDataFrame([("t", p)], "task string, phrase string")
+    got = tx.task_phrases(one_row("alias"), one_row("hyp"), one_row("sig")).collect()
+    assert sorted((r["kind"], r["phrase"]) for r in got) == [("alias", "alias"), ("hypothesis", "hyp"), ("signal", "sig")]
+    rows = spark.createDataFrame([("t", "short", " "), ("t", "", "dom")], "task0 string, d string, s string")
+    about = spark.createDataFrame([("t", "about t")], "task string, text string")
+    assert sorted(r["text"] for r in tx.task_documents(rows, "task0", ["d", "s"], about).collect()) == ["about t", "dom", "short"]
+
+
+def test_tables_with_fixed_schemas(spark, tmp_path):
+    spark.createDataFrame([(1, "p", ["t"], [], [], None, None)], catalog.PROMPTS).write.parquet(str(tmp_path / "p"))
+    assert catalog.load_prompts(spark, str(tmp_path / "p")).first()["expected_task_type"] == ["t"]
+    spark.createDataFrame([("a", "t", [1.0])], "id string, task string, vector array<float>").write.parquet(str(tmp_path / "v"))
+    assert catalog.vectors(spark, str(tmp_path / "v")).columns == ["id", "task", "vector"]
+
+
+def test_cue_echo(spark):
+    cues = spark.createDataFrame([("alpha", ["alpha"]), ("beta", ["beta"]), ("pha x", ["pha"])], "cue string, lemmas array<string>")
+    prompts = spark.createDataFrame([(1, "Alpha x", ["alpha"]), (2, "beta", ["beta"]), (3, "betas beta", ["betas", "beta"])], "q int, text string, lemmas array<string>")
+    bound = ev.bindings(cues, prompts, "cue", "q", "text")
+    assert sorted(map(tuple, bound.collect())) == [("alpha", 1), ("beta", 2), ("beta", 3), ("pha x", 1)]
+    r = ev.cue_echo(bound, prompts, spark.createDataFrame([(1,), (2,)], "q int"), "cue", "q").first()
+    assert tuple(r) == (3, 2, 1, 1, 0.5)
