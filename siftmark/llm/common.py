@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import itertools
 import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,6 +54,30 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)  # the cleaner works beside us
 
 
+def give_back() -> None:
+    """Return what is free to the system: Python workers are kept for later tasks, and what they hold counts as the executor's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a partition's batches that leaves its worker small when it is done."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            give_back()
+
+    return wrapped
+
+
 def dense_rank_within(df: DataFrame, group: str, order: list[str], part: Column, out: str) -> DataFrame:
     """Number rows 0, 1, ... within `group` without bringing a group into one task.
 

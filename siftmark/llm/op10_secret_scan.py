@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, frugal
 
 #: kind, pattern, group that is measured, its least length, flags, substrings of which lower-cased text must hold one.
 BASE = (
@@ -72,7 +72,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str
         seen = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("__blob"))
         texts = texts.join(seen, "__blob", "left_anti")
     unseen = texts.groupBy("__blob").agg(F.first("__t").alias("t")).withColumnRenamed("__blob", "blob")
-    return unseen.mapInPandas(_scan, FINDINGS)
+    return unseen.mapInPandas(frugal(_scan), FINDINGS)
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame, path_cols: list[str], text_col: str = "text") -> DataFrame:

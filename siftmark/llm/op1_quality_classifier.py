@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, frugal, materialise
 from .op9_quality_rules import STOP_WORDS
 
 ABSTAIN, NO, YES = 0, 1, 2
@@ -259,7 +259,7 @@ def weak_labels(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
 
     Labels must be unique by doc_id; where one is repeated, its least values count."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return _with_labels(materialise(read.mapInPandas(_vote_rows, "doc_id long, quality_votes long, toxic_votes long")), labels)
+    return _with_labels(materialise(read.mapInPandas(frugal(_vote_rows), "doc_id long, quality_votes long, toxic_votes long")), labels)
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame | None, rows: int = TRAIN_ROWS, id_
     share = min(1.0, rows / max(1, total))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**15)) < F.lit(round(share * 10**15)))
-    fitted = _with_labels(sample, labels).drop("doc_id").repartition(1).mapInPandas(_train(posteriors), MODEL)
+    fitted = _with_labels(sample, labels).drop("doc_id").repartition(1).mapInPandas(frugal(_train(posteriors)), MODEL)
     return [(r["bias"], bytes(r["weights"])) for r in sorted(fitted.collect(), key=lambda r: r["aspect"])] or [(0.0, bytes(4 * DIMENSIONS))] * 2, report
 
 
@@ -300,7 +300,7 @@ def classify(docs: DataFrame, model: list[tuple[float, bytes]], id_col: str = "d
     One pass with the two weight vectors (1 MB each, of fixed size).  A null text is empty and gets what the bias and the
     profile of an empty text give; an empty table gives no rows."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return read.mapInPandas(_scorer(model), SCORED).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+    return read.mapInPandas(frugal(_scorer(model)), SCORED).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialise, mix64
+from .common import WordHashes, documents, frugal, materialise, mix64
 from .components import components, in_blocks, whole_groups
 
 SHINGLE = 5
@@ -184,18 +184,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal results.  Nodes and shingles are 64-bit hashes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("node", F.xxhash64("doc_id", F.xxhash64("t")))
-    signed = materialise(read.mapInPandas(_signatures, SIGNATURE))
+    signed = materialise(read.mapInPandas(frugal(_signatures), SIGNATURE))
     heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"), F.min("doc_id").alias("low"))
     reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
     met = reps.select("node", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = met.join(full, "bucket").join(reps.select("node", "sketch"), "node")
     blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
-    near = components(blocks.mapInPandas(lambda b: _joined(_sketch_edges(b)), "a long, b long"))
+    near = components(blocks.mapInPandas(frugal(lambda b: _joined(_sketch_edges(b))), "a long, b long"))
     weighed = near.join(reps.select("node", "n_shingles"), "node")
     sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
     texts = in_blocks(_likely(read.select("node", "t"), near).join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
-    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(lambda b: _joined(_confirmed(b)), "a long, b long"))
+    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(b))), "a long, b long"))
     # Classes are settled among distinct sets; rows meet them once, by set.
     classed = heads.join(links.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("root", "head"))
     least = classed.groupBy("class").agg(F.min("low").alias("component_id"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialise, mix64, release_shuffles
+from .common import WordHashes, documents, give_back, materialise, mix64, release_shuffles
 
 #: Text bytes of a chunk and of a server's share, about: they bound a task's memory.  Raise both for more than terabytes.
 CHUNK_BYTES, SERVER_BYTES = 4_000_000, 10_000_000
@@ -196,11 +196,21 @@ def _fold(id_col: str) -> Column:
 
 
 def _with_key(f, **fixed):
-    return lambda key, pdf: f(key, pdf, **fixed)
+    def of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(key, pdf, **fixed)
+        give_back()
+        return out
+
+    return of_group
 
 
 def _with_sums(f, **fixed):
-    return lambda key, pdf, sums: f(key, pdf, sums, **fixed)
+    def of_group(key: tuple, pdf: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        out = f(key, pdf, sums, **fixed)
+        give_back()
+        return out
+
+    return of_group
 
 
 def _exchange(dealt: DataFrame, servers: int) -> DataFrame:

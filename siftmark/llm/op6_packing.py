@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, frugal
 
 LENGTH = 1024
 #: Token that ends a document.
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: str
     dealt to groups by hash, about `group` to each, and only the pieces' numbers are shuffled.  A null text is empty: one
     piece, the end token.  Repeated rows are packed each on their own; an empty table gives no rows."""
     groups = max(1, -(-docs.count() // group))
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(_cut(length, tokenizer, ranks), PIECES)
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(frugal(_cut(length, tokenizer, ranks)), PIECES)
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", F.col("doc_tokens")), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(_pack_group(length), PLACES)
 
@@ -146,7 +146,7 @@ def sequences(docs: DataFrame, places: DataFrame, length: int = LENGTH, id_col:
                 rows += [(doc_id, s, ids[s : s + length].tobytes()) for s in range(0, len(ids), length)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(tokens, schema)
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(frugal(tokens), schema)
     laid = places.select("doc_id", "start", "sequence_id", "offset").join(ids, ["doc_id", "start"])
     return laid.groupBy("sequence_id").applyInPandas(_lay(length), "sequence_id long, n_tokens long, input_ids array<int>")
 

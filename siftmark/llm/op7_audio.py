@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, frugal
 
 #: Samples a second as stored, and as analysed.
 RATE_IN, RATE_OUT = 16_000, 10_000
@@ -148,13 +148,13 @@ def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and the WAV file of each text.  A null text is empty: one block of 64 zero bytes."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(_encode, MEDIA)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(frugal(_encode), MEDIA)
 
 
 def audio_features(media: DataFrame) -> DataFrame:
     """Features of stored files: mel holds row-major 32-bit floats of shape (n, PATCH, MELS), the last patch padded with silence;
     segments are time spans.  One pass, no exchange; equal bytes give equal values."""
-    return media.mapInPandas(_analyse, FEATURES)
+    return media.mapInPandas(frugal(_analyse), FEATURES)
 
 
 def tensor_table(pdf: pd.DataFrame) -> pa.Table:

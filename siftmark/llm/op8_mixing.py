@@ -78,6 +78,8 @@ def mix(docs: DataFrame, targets: dict[str, int] | None = None, rest: int = REST
     stand side by side.  Nothing is dropped or repeated.  A null source is in the rest; an empty table gives no rows.
     What goes through the driver is a count for each named source; tasks hold slices of a source, never a source."""
     targets = TARGETS if targets is None else targets
+    if rest < 1 or min(targets.values(), default=0) < 0:
+        raise ValueError("parts are whole numbers, of the rest at least 1: its documents must go somewhere")
     parts = {**{k: v for k, v in targets.items() if v > 0}, REST: rest}
     named = {k: v for k, v in targets.items() if v > 0}
     pooled = docs.withColumn("__pool", _pool(F.col(source_col), named))

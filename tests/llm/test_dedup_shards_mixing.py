@@ -197,6 +197,8 @@ def test_mixing_of_odd_tables(odd, nothing):
     assert op8.mixed(nothing).count() == 0
     with pytest.raises(ValueError):
         op8.period_of({"a": op8.MOST_PARTS + 1})
+    with pytest.raises(ValueError):
+        op8.mix(odd, {"src0": 1}, rest=0)
 
 
 def test_mixing_without_python(spark, sf_dir):
