@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import small
+
 DOMINATION, RARE_DF, FAIL_RATE = 0.5, 4, 0.60
 
 
@@ -91,9 +93,9 @@ def provenance(cues: DataFrame, allowed: DataFrame, cue: str, lemmas: str) -> Da
 def bindings(cues: DataFrame, prompts: DataFrame, cue: str, q: str, text: str) -> DataFrame:
     """cue, q: a cue(cue, lemmas) binds a prompt(q, text, lemmas) whose text holds it or that shares a lemma with it.
 
-    The second half is an equi-join on lemmas; only the first tests every pair, against a dictionary that each task holds."""
+    The second half is an equi-join on lemmas; only the first tests every pair, against a dictionary that each task holds if it is small."""
     shared = cues.select(cue, F.explode("lemmas").alias("lemma")).join(prompts.select(q, F.explode("lemmas").alias("lemma")), "lemma").select(cue, q)
-    held = prompts.select(q, F.lower(text).alias("__t")).join(F.broadcast(cues.select(cue)), F.contains("__t", F.lower(cue))).select(cue, q)
+    held = prompts.select(q, F.lower(text).alias("__t")).join(small(cues.select(cue)), F.contains("__t", F.lower(cue))).select(cue, q)
     return shared.unionByName(held).distinct()
 
 

@@ -14,6 +14,16 @@ MICRO = 1_000_000
 RRF_K = 60
 
 
+#: Rows up to which a side of a join that has no key goes to every task.
+SMALL_ROWS = 20_000
+
+
+def small(side: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """side marked for broadcast if it has `most` rows at most, counted no further than that; a larger one is left to Spark,
+    which then pairs partitions of both sides."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def micro(x: Column) -> Column:
     return F.round(x * MICRO).cast("long")
 

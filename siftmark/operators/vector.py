@@ -1,6 +1,7 @@
 """Nearest neighbours, votes, centroids and phrase similarity over vector columns.
 
-The query side of every search is a stated, bounded set; it goes to each task whole and the corpus is read where it lies."""
+The query side of a search is a stated set: if it is small, which is counted, it goes to each task whole and the corpus is read
+where it lies; else partitions of both sides are paired."""
 
 from __future__ import annotations
 
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.vectors import cosine, mean_vector, norm
 
-from .ranking import micro, top_k
+from .ranking import micro, small, top_k
 
 
 def similarities(queries: DataFrame, corpus: DataFrame, q: str, key: str, vector: str = "vector") -> DataFrame:
     """q, key, sim (millionths of the cosine) and the other columns of corpus."""
-    small = F.broadcast(queries.select(q, F.col(vector).alias("__q")))
-    return corpus.crossJoin(small).select(q, *(c for c in corpus.columns if c != vector), micro(cosine(F.col("__q"), F.col(vector))).alias("sim"))
+    asked = small(queries.select(q, F.col(vector).alias("__q")))
+    return corpus.crossJoin(asked).select(q, *(c for c in corpus.columns if c != vector), micro(cosine(F.col("__q"), F.col(vector))).alias("sim"))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, k: int, vector: str = "vector") -> DataFrame:
@@ -35,7 +36,8 @@ def centroids(corpus: DataFrame, label: str, vector: str = "vector") -> DataFram
 def max_mean(queries: DataFrame, candidates: DataFrame, q: str, c: str, vector: str = "vector") -> DataFrame:
     """q, c, score: the mean over a query's phrases (one row each) of the greatest cosine with a candidate's phrases.
     A phrase without length takes no part; a side without phrases has no row."""
-    left = F.broadcast(queries.where(norm(F.col(vector)) > 0).select(q, F.monotonically_increasing_id().alias("__p"), F.col(vector).alias("__q")))
+    # equal phrases of a query have equal greatest cosines: their number is kept as a weight
+    left = small(queries.where(norm(F.col(vector)) > 0).groupBy(q, F.col(vector).alias("__q")).agg(F.count(F.lit(1)).alias("__w")).withColumn("__p", F.xxhash64("__q")))
     right = candidates.where(norm(F.col(vector)) > 0).select(c, vector)
-    most = right.crossJoin(left).groupBy(q, "__p", c).agg(F.max(micro(cosine(F.col("__q"), F.col(vector)))).alias("__m"))
-    return most.groupBy(q, c).agg(F.round(F.sum("__m") / F.count(F.lit(1)) / 1e6, 4).alias("score"))
+    most = right.crossJoin(left).groupBy(q, "__p", "__w", c).agg(F.max(micro(cosine(F.col("__q"), F.col(vector)))).alias("__m"))
+    return most.groupBy(q, c).agg(F.round(F.sum(F.col("__m") * F.col("__w")) / F.sum("__w") / 1e6, 4).alias("score"))

@@ -339,7 +339,7 @@ def vector_degenerate_audit(x: Data) -> DataFrame:
 def centroid_degenerate_audit(x: Data) -> DataFrame:
     """Centroid arm: the nearest member of the label whose centroid is nearest."""
     best = rk.best(vc.similarities(x.vector_queries, vc.centroids(x.vector_corpus, "label"), "q", "label"), "q", "label", "sim").select("q", F.col("label").alias("pred"))
-    members = vc.similarities(x.vector_queries, x.vector_corpus, "q", "vec_id").join(F.broadcast(best), "q").where(F.col("label") == F.col("pred"))
+    members = vc.similarities(x.vector_queries, x.vector_corpus, "q", "vec_id").join(rk.small(best), "q").where(F.col("label") == F.col("pred"))
     return vector_degenerate(x, rk.top_k(members, "q", "sim", 1, "vec_id"), CLOSE)
 
 
@@ -404,7 +404,7 @@ PARTS["bound"] = ("bl lem", """SELECT item_id, d.doc_id FROM (SELECT item_id, lo
 def cue_echo(x: Data) -> DataFrame:
     """Documents that a benchmark item binds: they hold it, or share a rare lemma with it.  The stated set of items goes to
     every task for the first test; the second is an equi-join on lemmas."""
-    items = F.broadcast(x.table("benchmark").select("item_id", F.lower("text").alias("t")))
+    items = rk.small(x.table("benchmark").select("item_id", F.lower("text").alias("t")))
     held = x.docs.select("doc_id", F.lower("text").alias("d")).join(items, F.contains("d", "t")).select("item_id", "doc_id")
     rare = x.lemmas.groupBy("lemma").agg(F.count(F.lit(1)).alias("df")).where("df <= 2").select("lemma")
     shared = x.item_lemmas.join(x.lemmas.join(rare, "lemma", "left_semi"), "lemma").select("item_id", "doc_id")

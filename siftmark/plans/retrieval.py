@@ -354,11 +354,11 @@ def task_filter_fallback(x: Data) -> DataFrame:
     """The three nearest rows of the wanted label, or of all where none has it (odd queries want one that isn't there);
     then one join for their link, which rows of the third kind don't have, and a short description."""
     found = vc.similarities(x.vector_queries.withColumn("want", F.when(F.col("q") % 2 == 0, F.col("q_label")).otherwise(-1)), x.vector_corpus, "q", "vec_id").join(
-        F.broadcast(x.vector_queries.select("q", F.when(F.col("q") % 2 == 0, F.col("q_label")).otherwise(-1).alias("want"))), "q"
+        rk.small(x.vector_queries.select("q", F.when(F.col("q") % 2 == 0, F.col("q_label")).otherwise(-1).alias("want"))), "q"
     )
     fits = F.col("label") == F.col("want")
     any_fits = found.groupBy("q").agg(F.count_if(fits).alias("m"))
-    top = rk.top_k(found.join(F.broadcast(any_fits), "q").where((F.col("m") == 0) | fits), "q", "sim", 3, "vec_id")
+    top = rk.top_k(found.join(rk.small(any_fits), "q").where((F.col("m") == 0) | fits), "q", "sim", 3, "vec_id")
     rows = x.docs.select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://catalog/"), F.col("doc_id").cast("string"))).alias("url"), F.substring(strip(F.col("text")), 1, 160).alias("description"))
     return top.join(rows, "vec_id").select("q", F.col("vec_id").alias("doc_id"), "rank", "url", "description")
 

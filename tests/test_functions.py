@@ -283,3 +283,14 @@ def test_cue_echo(spark):
     assert sorted(map(tuple, bound.collect())) == [("alpha", 1), ("beta", 2), ("beta", 3), ("pha x", 1)]
     r = ev.cue_echo(bound, prompts, spark.createDataFrame([(1,), (2,)], "q int"), "cue", "q").first()
     assert tuple(r) == (3, 2, 1, 1, 0.5)
+
+
+def test_a_large_query_side_is_not_broadcast_and_gives_the_same(spark, monkeypatch):
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "q int, vector array<float>")
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "vec_id int, vector array<float>")
+    find = lambda: sorted(map(tuple, vc.nearest(q, rows, "q", "vec_id", 2).collect()))
+    near = find()
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(rk.small(q, 5)) and not hinted(rk.small(q, 4))
+    monkeypatch.setattr(vc, "small", lambda df: rk.small(df, 1))
+    assert find() == near
