@@ -5,8 +5,12 @@ from __future__ import annotations
 import contextlib
 import gc
 import itertools
+import os
+import tempfile
 import time
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,9 +19,28 @@ from pyspark.sql import functions as F
 #: A run of the six ASCII white-space characters separates words (Java and RE2 syntax).
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 _serial = itertools.count()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, unless they find it where the driver does:
+    beside the working folder, on PYTHONPATH, or installed."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    found = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if spark.sparkContext.master.split("[")[0] == "local":  # workers start where the driver did
+        found.add(Path.cwd())
+    if app in _shipped or root in found or root.name in ("site-packages", "dist-packages"):
+        return
+    archive = Path(tempfile.mkdtemp()) / "siftmark.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "siftmark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
