@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import ceil, log, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,24 +16,42 @@ from .common import WordHashes, documents, frugal, materialise, mix64
 from .components import components, in_blocks, whole_groups
 
 SHINGLE = 5
-#: Linked: 100 * intersection >= PERCENT * union.
+#: Linked: 100 * intersection >= percent * union.  PERCENT is the value of the query and of the pipeline's stage.
 PERCENT = 85
-#: A pair at the threshold shares no band with odds (1 - 0.85 ** ROWS) ** BANDS = 8e-7.
+#: Rows of a band, and the bands at PERCENT: a pair at the threshold shares none with odds (1 - 0.85 ** ROWS) ** BANDS = 8e-7.
 BANDS, ROWS = 24, 5
-#: Bits of the odd sketch of BANDS * ROWS samples.
+#: Those odds bound the bands at every threshold.
+MISS = 8e-7
+#: Bits of the odd sketch of a text's samples.
 BITS = 512
-#: Candidates go on if the sketch puts their similarity at this or more: six standard deviations under the threshold.
-SKETCH_FLOOR = 0.65
+#: Candidates go on if the sketch puts their similarity at the threshold less this or more: six standard deviations.
+SKETCH_MARGIN = 0.2
 #: Rows of a bucket, and shingles of a candidate component, that one task compares; larger groups go by pairs of blocks.
 SKETCH_BLOCK, TEXT_BLOCK = 20_000, 3_000_000
 
-_rng = np.random.default_rng(20_240)
-_XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_ODD = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_BAND = _rng.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Family(NamedTuple):
+    """Numbers that make the samples of a text and the hashes of its bands."""
+
+    xor: np.ndarray
+    odd: np.ndarray
+    band: np.ndarray
+
+
+@lru_cache
+def family(bands: int = BANDS) -> Family:
+    rng = np.random.default_rng(20_240)
+    draw = lambda *shape: rng.integers(0, 2**64, shape, dtype=np.uint64)
+    return Family(draw(bands * ROWS), draw(bands * ROWS) | np.uint64(1), draw(bands, ROWS) | np.uint64(1))
+
+
+def bands_for(percent: int) -> int:
+    """The fewest bands by which a pair at the threshold is missed with odds of MISS at most: 24 at 85, 36 at 80."""
+    return max(1, ceil(log(MISS) / log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
 def shingles(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z in lower case, words between ASCII white space."""
     h = hashes(text.encode().lower().split())  # bytes: only ASCII letters and spaces count
@@ -43,10 +64,11 @@ def shingles(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mix64(s))
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+def minhashes(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    xor, odd, _ = family(bands)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
-        np.minimum(least, ((s[None, i : i + 1024] ^ _XOR[:, None]) * _ODD[:, None]).min(1), out=least)
+        np.minimum(least, ((s[None, i : i + 1024] ^ xor[:, None]) * odd[:, None]).min(1), out=least)
     return least
 
 
@@ -65,21 +87,24 @@ def similarity(differing_bits: np.ndarray, samples: int = BANDS * ROWS, bits: in
 SIGNATURE = "doc_id long, node long, n_shingles long, set_key string, bands array<long>, sketch binary"
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+def _signatures(bands: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
 
-    hashes, names = WordHashes(), [c.split()[0] for c in SIGNATURE.split(", ")]
-    for pdf in batches:
-        rows = []
-        for doc_id, node, text in zip(pdf["doc_id"], pdf["node"], pdf["t"], strict=True):
-            s = shingles(text, hashes)
-            if len(s):
-                least = minhashes(s)
-                bands = mix64((least.reshape(BANDS, ROWS) * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
-                rows.append((doc_id, node, len(s), hashlib.md5(s.tobytes()).hexdigest(), bands, odd_sketch(least).tobytes()))
-            else:
-                rows.append((doc_id, node, 0, None, None, None))
-        yield pd.DataFrame(rows, columns=names)
+        hashes, names, weights = WordHashes(), [c.split()[0] for c in SIGNATURE.split(", ")], family(bands).band
+        for pdf in batches:
+            rows = []
+            for doc_id, node, text in zip(pdf["doc_id"], pdf["node"], pdf["t"], strict=True):
+                s = shingles(text, hashes)
+                if len(s):
+                    least = minhashes(s, bands)
+                    keys = mix64((least.reshape(bands, ROWS) * weights).sum(1) + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
+                    rows.append((doc_id, node, len(s), hashlib.md5(s.tobytes()).hexdigest(), keys, odd_sketch(least).tobytes()))
+                else:
+                    rows.append((doc_id, node, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=names)
+
+    return signatures
 
 
 def _spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -98,15 +123,19 @@ def _spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return of
 
 
-def _sketch_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch_edges(bands: int, floor: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Edges that span what the sketches join within a bucket (or a pair of blocks of one)."""
-    for pdf in whole_groups(batches, ["bucket", "lo", "hi"]):
-        nodes = pdf["node"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        of = _spread(len(pdf), lambda x, rest: similarity(np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1, dtype=np.int64)) >= SKETCH_FLOOR)  # noqa: B023
-        other = of != np.arange(len(pdf))
-        if other.any():
-            yield pd.DataFrame({"a": nodes[other], "b": nodes[of[other]]})
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["bucket", "lo", "hi"]):
+            nodes = pdf["node"].to_numpy()
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+            of = _spread(len(pdf), lambda x, rest: similarity(np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1, dtype=np.int64), bands * ROWS) >= floor)  # noqa: B023
+            other = of != np.arange(len(pdf))
+            if other.any():
+                yield pd.DataFrame({"a": nodes[other], "b": nodes[of[other]]})
+
+    return edges
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,32 +155,36 @@ def linked(a: int, b: np.ndarray, both: np.ndarray, percent: int = PERCENT) -> n
     return 100 * both >= percent * (a + b - both)
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirmed(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Edges that span the exact links among the texts of a candidate component (or a pair of blocks of one)."""
-    hashes = WordHashes()
-    for pdf in whole_groups(batches, ["root", "lo", "hi"]):
-        pdf = pdf.drop_duplicates("node")
-        nodes, sets = pdf["node"].to_numpy(), [shingles(t, hashes) for t in pdf["t"]]
-        size = np.array([len(s) for s in sets])
-        # Postings of each shingle: intersections of one set with all others are counted at once.
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        postings, ends = owner[order], np.cumsum(np.bincount(code))
-        starts = np.concatenate(([0], ends[:-1]))
-        first = np.concatenate(([0], np.cumsum(size)))
-
-        def near(x: int, rest: np.ndarray) -> np.ndarray:
-            c = code[first[x] : first[x + 1]]  # noqa: B023
-            lengths = ends[c] - starts[c]  # noqa: B023
-            at = np.repeat(starts[c] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())  # noqa: B023
-            both = np.bincount(postings[at], minlength=len(sets))[rest]  # noqa: B023
-            return linked(size[x], size[rest], both)  # noqa: B023
-
-        of = _spread(len(sets), near)
-        other = of != np.arange(len(sets))
-        if other.any():
-            yield pd.DataFrame({"a": nodes[other], "b": nodes[of[other]]})
+
+    def confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in whole_groups(batches, ["root", "lo", "hi"]):
+            pdf = pdf.drop_duplicates("node")
+            nodes, sets = pdf["node"].to_numpy(), [shingles(t, hashes) for t in pdf["t"]]
+            size = np.array([len(s) for s in sets])
+            # Postings of each shingle: intersections of one set with all others are counted at once.
+            owner = np.repeat(np.arange(len(sets)), size)
+            _, code = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            postings, ends = owner[order], np.cumsum(np.bincount(code))
+            starts = np.concatenate(([0], ends[:-1]))
+            first = np.concatenate(([0], np.cumsum(size)))
+
+            def near(x: int, rest: np.ndarray) -> np.ndarray:
+                c = code[first[x] : first[x + 1]]  # noqa: B023
+                lengths = ends[c] - starts[c]  # noqa: B023
+                at = np.repeat(starts[c] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())  # noqa: B023
+                both = np.bincount(postings[at], minlength=len(sets))[rest]  # noqa: B023
+                return linked(size[x], size[rest], both, percent)  # noqa: B023
+
+            of = _spread(len(sets), near)
+            other = of != np.arange(len(sets))
+            if other.any():
+                yield pd.DataFrame({"a": nodes[other], "b": nodes[of[other]]})
+
+    return confirmed
 
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,7 +200,7 @@ def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.drop("__word", "__bits")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, node, n_shingles, component_id and kept for every row.
 
     1. One pass makes each text's shingle set, MinHash samples, band hashes and odd sketch; sets that are equal become
@@ -180,22 +213,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Groups beyond a block's size are compared by pairs of blocks: exact, in bounded memory, at a cost that grows with the
     square of the number of blocks.
 
+    Texts are linked at a similarity of `percent` or more; bands and the sketches' floor follow it.
+
     Null or wordless texts have no shingles and are linked with nothing.  Rows of equal id and text are one node and get
     equal results.  Nodes and shingles are 64-bit hashes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    bands, text = bands_for(percent), F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("node", F.xxhash64("doc_id", F.xxhash64("t")))
-    signed = materialise(read.mapInPandas(frugal(_signatures), SIGNATURE))
+    signed = materialise(read.mapInPandas(frugal(_signatures(bands)), SIGNATURE))
     heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"), F.min("doc_id").alias("low"))
     reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
     met = reps.select("node", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = met.join(full, "bucket").join(reps.select("node", "sketch"), "node")
     blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
-    near = components(blocks.mapInPandas(frugal(lambda b: _joined(_sketch_edges(b))), "a long, b long"))
+    near = components(blocks.mapInPandas(frugal(lambda b: _joined(_sketch_edges(bands, percent / 100 - SKETCH_MARGIN)(b))), "a long, b long"))
     weighed = near.join(reps.select("node", "n_shingles"), "node")
     sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
     texts = in_blocks(_likely(read.select("node", "t"), near).join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
-    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(b))), "a long, b long"))
+    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(percent)(b))), "a long, b long"))
     # Classes are settled among distinct sets; rows meet them once, by set.
     classed = heads.join(links.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("root", "head"))
     least = classed.groupBy("class").agg(F.min("low").alias("component_id"))
@@ -205,9 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "node", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs of which doc_id is the least of its component: one document of each group.  Wordless rows stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("node").alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("node").alias("__gone")).distinct()
     keyed = docs.withColumn("__node", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
     return keyed.join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
 
