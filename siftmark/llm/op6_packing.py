@@ -123,6 +123,46 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: str
     return dealt.groupBy("group").applyInPandas(_pack_group(length), PLACES)
 
 
+def cut_documents(docs: DataFrame, keep: list[str], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> DataFrame:
+    """doc_id, doc_tokens, crcs (of each piece in turn) and the columns to keep: a narrow row for each document."""
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names = ["doc_id", "doc_tokens", "crcs", *keep]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(tokenizer, ranks)
+        for pdf in batches:
+            rows = []
+            for doc_id, text, *rest in zip(pdf["__id"], pdf["__t"], *(pdf[c] for c in keep), strict=True):
+                ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
+                rows.append((doc_id, len(ids), [zlib.crc32(ids[s : s + length].tobytes()) for s in range(0, len(ids), length)], *rest))
+            yield pd.DataFrame(rows, columns=names)
+
+    read = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), *keep)
+    return read.mapInPandas(frugal(cut), f"doc_id long, doc_tokens long, crcs array<long>, {kept}")
+
+
+def _pack_range(length: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def pack_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["position", "start"], kind="stable")
+        bins, offsets = first_fit_decreasing(pdf["length"].tolist(), length)
+        number = {b: n for n, b in enumerate(dict.fromkeys(bins))}  # by the first piece in a sequence
+        return pdf.assign(sequence_id=[(int(key[0]) << 32) + number[b] for b in bins], offset=offsets).drop(columns=["group", "position"])
+
+    return pack_range
+
+
+def pack_ranges(placed: DataFrame, position: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """Rows of cut_documents with a position (0, 1, ...) packed as `pack` does it, but in groups of `group` positions that
+    follow each other.  Sequences are numbered by group, and inside one by the first piece that they hold: so they come in
+    the order of the positions, from which none departs by more than a group."""
+    start = (F.col("k") * F.lit(length)).cast("long")
+    each = placed.select("doc_id", "doc_tokens", F.col(position).alias("position"), F.posexplode("crcs").alias("k", "ids_crc32"))
+    pieces = each.select(
+        "doc_id", start.alias("start"), F.least(F.lit(length), F.col("doc_tokens") - start).cast("long").alias("length"), "ids_crc32", "doc_tokens", "position", F.floor(F.col("position") / group).cast("long").alias("group")
+    )
+    return pieces.groupBy("group").applyInPandas(_pack_range(length), PLACES)
+
+
 def _lay(length: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def lay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset")
