@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,13 +54,14 @@ def all_satisfied(names: list[str]) -> Column:
 
 
 def hybrid_pick(
-    candidates: DataFrame, catalog: DataFrame, dense: DataFrame, hard: list[str], soft: list[str], predicted: DataFrame, q: str, key: str, k: int = 5, popular: bool = False,
+    candidates: DataFrame, catalog: DataFrame, dense: DataFrame | Callable[[DataFrame], DataFrame], hard: list[str], soft: list[str], predicted: DataFrame, q: str, key: str, k: int = 5, popular: bool = False,
     task_bonus: float = 0.15, soft_bonus: float = 0.05, filter_first: bool = False, sparse_k: int = 200,
 ) -> DataFrame:
     """q, key, task, score, rank: sparse candidates, hard constraints, then dense score and bonuses; at most k rows a query.
 
     candidates(q, key, rank) is cut to sparse_k *before* the hard constraints, which may starve it, as the semantics ask;
-    filter_first puts the constraints first.  dense(q, key, dense) lacks pairs without a vector: 0.  predicted(q, task) adds
+    filter_first puts the constraints first.  dense(q, key, dense) lacks pairs without a vector: 0; it may be a
+    function that adds the column to the candidates, which then costs nothing for other pairs.  predicted(q, task) adds
     task_bonus, each met soft constraint soft_bonus.  popular breaks ties by likes before the key."""
     from .ranking import top_k
 
@@ -69,7 +71,8 @@ def hybrid_pick(
     else:
         cut = candidates.where(F.col("rank") <= sparse_k)
     rows = cut.select(q, key).join(catalog, key).where(all_satisfied(hard))
-    rows = rows.join(dense, [q, key], "left").join(predicted.select(q, "task", F.lit(task_bonus).alias("__bonus")), [q, "task"], "left")
+    rows = dense(rows) if callable(dense) else rows.join(dense, [q, key], "left")
+    rows = rows.join(predicted.select(q, "task", F.lit(task_bonus).alias("__bonus")), [q, "task"], "left")
     bonus = reduce(lambda a, b: a + b, (F.when(satisfied(F.lit(s)), F.lit(soft_bonus)).otherwise(F.lit(0.0)) for s in soft), F.lit(0.0))
     scored = rows.withColumn("score", F.round(F.coalesce("dense", F.lit(0.0)) + F.coalesce("__bonus", F.lit(0.0)) + bonus, 4))
     scored = scored.withColumn("__likes", -F.coalesce("likes", F.lit(0)) if popular else F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.labels import family
 from siftmark.functions.text import C, counts, key_phrases, repaired, strip, whitespace_set
+from siftmark.functions.vectors import cosine as cosine_of
 from siftmark.operators import constraints as cs
 from siftmark.operators import ranking as rk
 from siftmark.operators import vector as vc
@@ -279,9 +280,13 @@ def constraint_filter(x: Data) -> DataFrame:
 def picks(x: Data, **options) -> DataFrame:
     """Hybrid retrieval of benchmark items; an item's vector is the embedding of the same number, so is a document's."""
     found = sparse(x, None if options.get("filter_first") else 200).withColumnRenamed("score", "sparse")
-    items = x.vectors.where("vec_id < 200").select(F.col("vec_id").alias("item_id"), "vector")
-    rows = x.vectors.select(F.col("vec_id").alias("doc_id"), "vector")
-    dense = vc.similarities(items, rows, "item_id", "doc_id").select("item_id", "doc_id", F.round(F.col("sim") / 1e6, 4).alias("dense"))
+    vectors = x.vectors.select("vec_id", "vector")
+    items = vectors.join(x.table("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("vector").alias("__q"))
+
+    def dense(rows: DataFrame) -> DataFrame:
+        both = rows.join(items, "item_id", "left").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+        return both.withColumn("dense", F.round(rk.micro(cosine_of(F.col("__q"), F.col("vector"))) / 1e6, 4)).drop("__q", "vector")
+
     stats = rk.label_statistics(C.rows(x.docs, ["doc_id", "task"], "text", distinct=True), "task", x.docs.select("task").distinct())
     predicted = rk.top_k(rk.label_scores(C.rows(x.table("benchmark"), ["item_id"], "text"), stats, "item_id", "task"), "item_id", "score", 2, "task")
     return cs.hybrid_pick(found, catalog_rows(x), dense, ["open_source"], ["edge", "fast"], predicted, "item_id", "doc_id", **options)
