@@ -50,24 +50,51 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share.  It is the session's spark.checkpoint.dir;
-    only where that is unset (tests on one machine) a local default is put in its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder that driver and executors share, in the session's spark.checkpoint.dir.  Where that is unset, a local
+    folder takes its place if the master is local, as in tests; on a cluster nothing can, so it is an error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir("/tmp/siftmark-checkpoints")
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/siftmark-{spark.sparkContext.applicationId}-{next(_serial)}"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="siftmark-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/siftmark-{sc.applicationId}-{next(_serial)}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession)
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing.  A path that is
+    given again is replaced, so a loop that alternates between two never keeps more than two tables."""
+    path = path or shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser reads it: names may hold dots, spaces and backquotes."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct.  Operators that hand rows on carry this beside columns of their own, so that no name of
+    the table can clash with theirs."""
+    return F.struct(*(column(c) for c in docs.columns))
+
+
+def unpacked_row(row: str, names: list[str], **replaced: Column) -> list[Column]:
+    """The columns of a whole_row again, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col(row).getItem(c).alias(c) for c in names]
+
+
+def salted(few: DataFrame, salts: int, salt: str = "salt") -> DataFrame:
+    """`few` once for each salt: joined on key and salt, rows of a hot key are dealt over so many tasks."""
+    return few.withColumn(salt, F.explode(F.lit(list(range(salts)))))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that are done: it does once the driver has collected the
     frames that nothing refers to any more, which otherwise may be long after."""

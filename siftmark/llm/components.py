@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shared_dir
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,15 +18,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each node's neighbours move to its least neighbour.  A step aggregates
     before its exchange and joins on the node, never lists a node's neighbours in one place, and halves the depth.  Each
     round is written to the shared folder, so lineage stays short; only two sums go to the driver."""
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    folders = [shared_dir(edges.sparkSession) for _ in range(2)]  # a round reads one and replaces the other
+    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folders[0])
     seen = None
-    for _ in range(most_rounds):
+    for k in range(1, most_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        edges = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), folders[k % 2])
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen:
             break
