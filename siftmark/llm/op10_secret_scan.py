@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frugal
+from .common import column, documents, frugal, shared_dir
 
 #: kind, pattern, group that is measured, its least length, flags, substrings of which lower-cased text must hold one.
 BASE = (
@@ -26,15 +26,17 @@ MORE = (
     ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@[^\s/@]+", 0, 1, 0, ("://",)),
 )
 RULES = BASE + MORE
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
-
 FINDINGS = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def find_spans(text: str) -> list[tuple[int, int, str, int]]:
+def version_of(rules: tuple) -> str:
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+def find_spans(text: str, rules: tuple = RULES) -> list[tuple[int, int, str, int]]:
     """(start, order of kind, kind, end) of every finding in code points, by start and then kind as listed."""
     low, out = text.lower(), []
-    for order, (kind, pattern, group, least, flags, needles) in enumerate(RULES):
+    for order, (kind, pattern, group, least, flags, needles) in enumerate(rules):
         if needles and not any(n in low for n in needles):
             continue
         if kind == "hex":
@@ -47,45 +49,69 @@ def joined(spans: list[tuple[int, int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for blob, text in zip(pdf["blob"], pdf["t"], strict=True):
-            spans = find_spans(text)
-            base = [s for s in spans if s[1] < len(BASE)]
-            n = [sum(s[1] == k for s in base) for k in range(len(BASE))]
-            rows.append((blob, RULE_VERSION, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FINDINGS.split(", ")])
+def _scan(rules: tuple) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    version = version_of(rules)
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for blob, text in zip(pdf["blob"], pdf["t"], strict=True):
+                spans = find_spans(text, rules)
+                base = [s for s in spans if s[1] < len(BASE)]
+                n = [sum(s[1] == k for s in base) for k in range(len(BASE))]
+                rows.append((blob, version, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FINDINGS.split(", ")])
 
-def _blobs(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__blob", F.sha2("__t", 256))
+    return scan
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """Findings of contents whose pair (blob, rule version) the ledger doesn't hold; append them to it.
+def _blob(text_col: str) -> Column:
+    return F.sha2(F.coalesce(column(text_col), F.lit("")).cast("binary"), 256)
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple = RULES) -> DataFrame:
+    """Findings of contents whose pair (blob, rule version) the ledger doesn't hold.
 
     Copies meet in their own task before the exchange (first of a group), so a content that fills a third of the rows
-    crosses it once for each task.  Null text is the empty blob."""
-    texts = _blobs(docs, text_col).select("__blob", "__t")
+    crosses it once for each task.  Null text is the empty blob; an empty table gives no rows."""
+    texts = docs.select(_blob(text_col).alias("blob"), F.coalesce(column(text_col), F.lit("")).alias("t")).groupBy("blob").agg(F.first("t").alias("t"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("__blob"))
-        texts = texts.join(seen, "__blob", "left_anti")
-    unseen = texts.groupBy("__blob").agg(F.first("__t").alias("t")).withColumnRenamed("__blob", "blob")
-    return unseen.mapInPandas(frugal(_scan), FINDINGS)
+        texts = texts.join(ledger.where(F.col("rule_version") == version_of(rules)).select("blob"), "blob", "left_anti")
+    return texts.mapInPandas(frugal(_scan(rules)), FINDINGS)
+
+
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The stored ledger: a row for each pair of blob and rule version that was ever scanned."""
+    return spark.read.schema(FINDINGS).parquet(path)
+
+
+def new_ledger(spark: SparkSession, path: str) -> None:
+    """An empty ledger; it is an error if something stands at path."""
+    spark.createDataFrame([], FINDINGS).write.parquet(path)
+
+
+def append(docs: DataFrame, path: str, text_col: str = "text", rules: tuple = RULES) -> None:
+    """Scan what the ledger at path hasn't seen under these rules, and store it there.  One commit for a run: a run that fails
+    leaves the ledger as it was, and a run that is repeated finds its work done."""
+    scan_unseen(docs, ledger_at(docs.sparkSession, path), text_col, rules).write.mode("append").parquet(path)
 
 
-def findings_by_path(docs: DataFrame, ledger: DataFrame, path_cols: list[str], text_col: str = "text") -> DataFrame:
-    """The ledger's findings for every path and version of docs, of the present rules.  Repeated rows give repeated results."""
-    paths = _blobs(docs, text_col).select(*path_cols, "__blob")
-    own = ledger.where(F.col("rule_version") == RULE_VERSION).withColumnRenamed("blob", "__blob")
-    return paths.join(own, "__blob").withColumnRenamed("__blob", "blob")
+def findings_by_path(docs: DataFrame, ledger: DataFrame, path_cols: list[str], text_col: str = "text", rules: tuple = RULES) -> DataFrame:
+    """path_cols, blob and the ledger's findings for every path and version of docs, under these rules; what wasn't scanned has
+    no row.  Repeated rows give repeated results."""
+    paths = docs.select(*(column(c).alias(f"path{i}") for i, c in enumerate(path_cols)), _blob(text_col).alias("blob"))
+    found = paths.join(ledger.where(F.col("rule_version") == version_of(rules)), "blob")
+    return found.select(*(F.col(f"path{i}").alias(c) for i, c in enumerate(path_cols)), "blob", *(c.split()[0] for c in FINDINGS.split(", ")[1:]))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First run over an empty ledger: every distinct text is scanned once and the findings go to all its documents."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs), ["doc_id"])
+    """Findings of every document, from a stored ledger that two runs have filled: the first had half of the documents, the
+    second has all and scans only contents that the first hadn't seen.  A null text is empty; repeated rows give repeated results."""
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), shared_dir(spark)
+    new_ledger(spark, ledger)
+    append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger)
+    append(docs, ledger)
+    found = findings_by_path(docs, ledger_at(spark, ledger), ["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version")
 
 
@@ -103,7 +129,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({" UNION ALL ".join(kinds)})),
 f AS (SELECT doc_id, o, kind, len(array_to_string(parts[1:i], '')) + len(array_to_string(ms[1:i - 1], '')) AS start, len(ms[i]) AS n FROM m WHERE len(gs[i]) >= least),
 g AS (SELECT doc_id, {n}, string_agg(kind || ':' || start || ':' || (start + n), ',' {order}) FILTER (o < {len(BASE)}) AS base, string_agg(kind || ':' || start || ':' || (start + n), ',' {order}) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob, '{RULE_VERSION}' AS rule_version
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob, '{version_of(RULES)}' AS rule_version
 FROM d LEFT JOIN g USING (doc_id)"""
 
 

@@ -9,27 +9,35 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, frugal, materialise
+from .common import column, documents, frugal, materialise
 from .op9_quality_rules import STOP_WORDS
 
 ABSTAIN, NO, YES = 0, 1, 2
-#: Labelled rows that the scorer is fitted on: about so many documents, those with the least hashes.
-TRAIN_ROWS = 40_000
+#: The scorer is fitted on a sample: at most so many distinct pairs of id and text, those of the least hashes, with at most so
+#: many features together.  Both bound the one task that fits it, whatever the table holds.
+TRAIN_ROWS, TRAIN_FEATURES = 40_000, 60_000_000
 #: Weights of the hashed scorer, for each aspect.
 DIMENSIONS = 1 << 18
 #: A feature counts if so many training documents have it.
 LEAST_DOCS = 5
 CLEAR = 3.0
 EPOCHS, BATCH, RATE = 12, 512, 0.05
-#: English insults; other languages are learned from the label votes.
-INSULTS = "stupid idiot moron loser trash scum pathetic worthless disgusting clown".split()
+#: Insults by language.  English has two lists without a word in common, of nouns and of adjectives, which tell of toxicity
+#: independently of each other; what these lists miss is learned from the label votes.
+INSULTS = {
+    "en_nouns": "idiot moron loser trash scum clown imbecile bastard".split(),
+    "en_adjectives": "stupid worthless pathetic disgusting brainless".split(),
+    "de": "idiot dummkopf arschloch trottel abschaum vollpfosten wichser blödmann".split(),
+    "fr": "idiot imbécile connard salaud crétin abruti ordure minable".split(),
+    "es": "idiota imbécil estúpido basura escoria pendejo cabrón inútil".split(),
+}
 _STOPS = {w.encode() for w in STOP_WORDS}
-#: Words that tell an English text, in which alone the English insults say anything when they are absent.
-_ENGLISH = set(b"the of and to that is it was with".split())
-_INSULTS = {w.encode() for w in INSULTS}
+#: Words that tell a text's language: insults count in their language alone, and only there their absence could tell anything.
+_TELLING = {k: set(v.encode().split()) for k, v in {"en": "the of and to that is it was with", "de": "der die und das ist nicht ein", "fr": "les et une est dans pour que", "es": "los las el por con una es"}.items()}
+_INSULTS = {k: {w.encode() for w in v} for k, v in INSULTS.items()}
 _EDGE = b".,;:!?\"'()[]{}"
 
 
@@ -39,8 +47,8 @@ class Profile(NamedTuple):
     words: int
     distinct: int
     stops: int
-    english: int
-    insults: int
+    languages: dict[str, int]
+    insults: dict[str, int]
     symbols: float
     upper: float
     letters: float
@@ -59,7 +67,7 @@ def profile(text: str) -> tuple[Profile, set[bytes]]:
     n, letters, upper = max(1, len(raw)), len(raw) - len(raw.translate(None, _LETTERS)), len(raw) - len(raw.translate(None, _UPPER))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return Profile(
-        len(words), len(known), len(known & _STOPS), len(known & _ENGLISH), len(known & _INSULTS), (n - len(raw.translate(None, b"#*$%&|<>"))) / n,
+        len(words), len(known), len(known & _STOPS), {k: len(known & v) for k, v in _TELLING.items()}, {k: len(known & v) for k, v in _INSULTS.items()}, (n - len(raw.translate(None, b"#*$%&|<>"))) / n,
         upper / max(1, letters), letters / n, 1 - len(set(lines)) / max(1, len(lines)),
     ), known
 
@@ -80,8 +88,11 @@ QUALITY: dict[str, Callable[[Profile], int]] = {
     "lines": lambda p: _vote(p.same_lines > 0.4, False),
 }
 TOXIC: dict[str, Callable[[Profile], int]] = {
-    "any_insult": lambda p: _vote(p.insults == 0 and p.english >= 3, p.insults > 0),
-    "insults": lambda p: _vote(False, p.insults > 1),
+    "nouns": lambda p: _vote(p.languages["en"] >= 3 and not p.insults["en_nouns"], p.insults["en_nouns"] > 0),
+    "adjectives": lambda p: _vote(p.languages["en"] >= 3 and not p.insults["en_adjectives"], p.insults["en_adjectives"] > 0),
+    "german": lambda p: _vote(p.languages["de"] >= 3 and not p.insults["de"], p.languages["de"] >= 3 and p.insults["de"] > 0),
+    "french": lambda p: _vote(p.languages["fr"] >= 3 and not p.insults["fr"], p.languages["fr"] >= 3 and p.insults["fr"] > 0),
+    "spanish": lambda p: _vote(p.languages["es"] >= 3 and not p.insults["es"], p.languages["es"] >= 3 and p.insults["es"] > 0),
 }
 ASPECTS = (QUALITY, TOXIC)
 
@@ -149,7 +160,7 @@ def shape_features(p: Profile) -> list[int]:
     """The profile in steps, as features among the words."""
     steps = {
         "symbols": int(p.symbols * 50), "upper": int(p.upper * 10), "letters": int(p.letters * 20), "lines": int(p.same_lines * 5),
-        "stops": min(p.stops, 5), "variety": int(10 * p.distinct / max(1, p.words)), "insults": min(p.insults, 2),
+        "stops": min(p.stops, 5), "variety": int(10 * p.distinct / max(1, p.words)), "insults": min(sum(p.insults.values()), 2),
     }
     return [_index(f"#{k}={v}".encode()) for k, v in steps.items()]
 
@@ -188,29 +199,65 @@ def fit(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple
     return (w * scale).astype(np.float32), float(bias)
 
 
+SAMPLE = "doc_id long, place long, n long, features binary, quality_votes long, toxic_votes long"
 MODEL = "aspect long, bias double, weights binary"
 
 
-def _train(posteriors: list[np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def features_of(p: Profile, known: set[bytes], memory: dict[bytes, tuple[int, ...]]) -> np.ndarray:
+    """Sorted distinct features of a text; memory keeps those of words."""
+    out = set(shape_features(p))
+    for w in known:
+        if w not in memory:
+            memory[w] = word_features(w)
+        out.update(memory[w])
+    return np.sort(np.fromiter(out, np.int32, len(out)))
+
+
+def _sample_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, memory = [c.split()[0] for c in SAMPLE.split(", ")], {}
+    for pdf in batches:
+        rows = []
+        for doc_id, place, text in zip(pdf["doc_id"], pdf["place"], pdf["t"], strict=True):
+            if len(memory) > 300_000:
+                memory.clear()
+            p, known = profile(text)
+            f = features_of(p, known, memory)
+            rows.append((doc_id, place, len(f), f.tobytes(), *votes_of(p)))
+            if len(rows) == 256:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
+def fit_aspect(rows: list[np.ndarray], target: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The scorer of one aspect from the posterior labels of rows with a vote (others: -1).  Where only one class is there,
+    nothing can be told apart: all weights are 0 and the bias is the label model's prior."""
+    have = np.flatnonzero(target >= 0)
+    if not ((target[have] > 0.5).any() and (target[have] < 0.5).any()):
+        return np.zeros(DIMENSIONS, np.float32), float(np.log(prior / (1 - prior)))
+    return fit([rows[i] for i in have], target[have], np.abs(2 * target[have] - 1))
+
+
+def counts_for(aspect: int, codes: np.ndarray) -> np.ndarray:
+    """Which patterns of votes make a row one to learn from.  Any vote does, but for toxicity a list that finds nothing in a
+    text says little: where the label table has both kinds, rows without a label count only if a list has found something."""
+    if aspect == 0 or not {NO, YES} <= set((codes % 3).tolist()):
+        return codes > 0
+    return (codes % 3 > 0) | (unpacked(codes // 3, len(TOXIC)) == YES).any(1)
+
+
+def _train(posteriors: list[np.ndarray], priors: list[float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, targets, memory = [], [[], []], {}
+        rows, patterns = [], [[] for _ in posteriors]
         for pdf in batches:
-            for text, label_votes in zip(pdf["t"], pdf[["quality_label", "toxic_label"]].to_numpy(), strict=True):
-                p, known = profile(text)
-                out = set(shape_features(p))
-                for w in known:
-                    if w not in memory:
-                        memory[w] = word_features(w)
-                    out.update(memory[w])
-                rows.append(np.fromiter(out, np.int64, len(out)))
-                for k, code in enumerate(votes_of(p)):
-                    pattern = code * 3 + int(label_votes[k])
-                    # no vote at all, or in the aspect of rare cases no vote but of what isn't there: not a labelled row
-                    targets[k].append(posteriors[k][pattern] if pattern and (k == 0 or label_votes[k] or code % 9 // 3 == YES) else -1)
-        for k, t in enumerate(targets):
-            t = np.array(t)
-            have = np.flatnonzero(t >= 0)
-            w, bias = fit([rows[i] for i in have], t[have], np.abs(2 * t[have] - 1)) if len(have) else (np.zeros(DIMENSIONS, np.float32), 0.0)
+            rows += [np.frombuffer(b, np.int32) for b in pdf["features"]]
+            for k, name in enumerate(("quality", "toxic")):
+                patterns[k] += (pdf[f"{name}_votes"] * 3 + pdf[f"{name}_label"]).tolist()
+        for k, codes in enumerate(patterns):
+            codes = np.array(codes, np.int64)
+            target = np.where(counts_for(k, codes), posteriors[k][codes], -1.0)
+            w, bias = fit_aspect(rows, target, priors[k])
             yield pd.DataFrame({"aspect": [k], "bias": [bias], "weights": [w.tobytes()]})
 
     return train
@@ -254,12 +301,15 @@ def _scorer(model: list[tuple[float, bytes]], most: int = 300_000) -> Callable[[
     return score
 
 
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("t"))
+
+
 def weak_labels(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the votes of each aspect, the label table's last (abstaining where it has no row).
 
-    Labels must be unique by doc_id; where one is repeated, its least values count."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return _with_labels(materialise(read.mapInPandas(frugal(_vote_rows), "doc_id long, quality_votes long, toxic_votes long")), labels)
+    Labels must be unique by doc_id; where one is repeated, its least values count.  Null ids have no label."""
+    return _with_labels(materialise(_read(docs, id_col, text_col).mapInPandas(frugal(_vote_rows), "doc_id long, quality_votes long, toxic_votes long")), labels)
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -271,12 +321,27 @@ def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.fillna(ABSTAIN, ["quality_label", "toxic_label"])
 
 
+def sample(docs: DataFrame, total: int, rows: int, features: int = TRAIN_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that the scorer is fitted on, with features and votes: at most `rows` distinct pairs of id and text, of at most
+    `features` features together, by the least hashes.  Features are made where the texts lie; only places in the order of
+    hashes, and how many features each has, go to one task to find the bound."""
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("t")), F.lit(10**15))
+    share = min(1.0, rows / max(1, total))
+    near = _read(docs, id_col, text_col).withColumn("place", place).where(F.col("place") < F.lit(round(share * 10**15)))
+    made = materialise(near.mapInPandas(frugal(_sample_rows), SAMPLE))
+    sizes = made.select("place", "n").distinct().orderBy("place").limit(rows)
+    upto = sizes.select("place", F.sum("n").over(Window.orderBy("place")).alias("upto")).where(F.col("upto") <= features).agg(F.max("place")).first()[0]
+    return made.where(F.col("place") <= F.lit(-1 if upto is None else upto)).dropDuplicates(["place"])
+
+
 def train(docs: DataFrame, labels: DataFrame | None, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[float, bytes]], dict]:
     """The two scorers, and what the label models found: accuracies and priors.
 
-    The label model is fitted on the votes of all rows: they are counted by pattern, at most 3 ** 8 and 3 ** 3 rows."""
+    The label model is fitted on the votes of all rows: they are counted by pattern, at most 3 ** 8 and 3 ** 6 rows.  Which
+    rows count for a scorer is told by counts_for.  An aspect of which the sample has one class alone
+    gives every text the prior; so does an empty table."""
     voted = weak_labels(docs, labels, id_col, text_col)
-    posteriors, report = [], {}
+    posteriors, priors, report = [], [], {}
     for name, aspect in (("quality", QUALITY), ("toxic", TOXIC)):
         n = len(aspect) + 1
         seen = voted.groupBy((F.col(f"{name}_votes") * 3 + F.col(f"{name}_label")).alias("code")).count().toPandas()
@@ -285,13 +350,12 @@ def train(docs: DataFrame, labels: DataFrame | None, rows: int = TRAIN_ROWS, id_
         counts[seen["code"].to_numpy(np.int64)] = seen["count"]
         post, right, prior = label_model(codes, counts, n)
         posteriors.append(post)
+        priors.append(float(prior))
         report[name] = {"prior": float(prior), "right": dict(zip([*aspect, "label"], right.tolist(), strict=True))}
-    total = voted.count()
-    share = min(1.0, rows / max(1, total))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**15)) < F.lit(round(share * 10**15)))
-    fitted = _with_labels(sample, labels).drop("doc_id").repartition(1).mapInPandas(frugal(_train(posteriors)), MODEL)
-    return [(r["bias"], bytes(r["weights"])) for r in sorted(fitted.collect(), key=lambda r: r["aspect"])] or [(0.0, bytes(4 * DIMENSIONS))] * 2, report
+    chosen = _with_labels(sample(docs, voted.count(), rows, id_col=id_col, text_col=text_col), labels).drop("doc_id")
+    fitted = chosen.repartition(1).sortWithinPartitions("place").mapInPandas(frugal(_train(posteriors, priors)), MODEL)
+    none = [(float(np.log(p / (1 - p))), bytes(4 * DIMENSIONS)) for p in priors]
+    return [(r["bias"], bytes(r["weights"])) for r in sorted(fitted.collect(), key=lambda r: r["aspect"])] or none, report
 
 
 def classify(docs: DataFrame, model: list[tuple[float, bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,11 +363,12 @@ def classify(docs: DataFrame, model: list[tuple[float, bytes]], id_col: str = "d
 
     One pass with the two weight vectors (1 MB each, of fixed size).  A null text is empty and gets what the bias and the
     profile of an empty text give; an empty table gives no rows."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return read.mapInPandas(frugal(_scorer(model)), SCORED).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+    return _read(docs, id_col, text_col).mapInPandas(frugal(_scorer(model)), SCORED).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by scorers that the table's own votes and labels have trained; a null text is empty, repeated rows
+    are scored each."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model, _ = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classify(docs, model)

@@ -9,15 +9,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, frugal, materialise, mix64
+from .common import WordHashes, column, documents, frugal, materialise, mix64, unpacked_row, whole_row
 from .components import components, in_blocks, whole_groups
 
 SHINGLE = 5
-#: Linked: 100 * intersection >= percent * union.  PERCENT is the value of the query and of the pipeline's stage.
-PERCENT = 85
+#: Linked: 100 * intersection >= percent * union.  PERCENT is the value of the query; STAGE_PERCENT that of near_dedup, as of
+#: all stages on word shingles.
+PERCENT, STAGE_PERCENT = 85, 80
 #: Rows of a band, and the bands at PERCENT: a pair at the threshold shares none with odds (1 - 0.85 ** ROWS) ** BANDS = 8e-7.
 BANDS, ROWS = 24, 5
 #: Those odds bound the bands at every threshold.
@@ -200,6 +201,37 @@ def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.drop("__word", "__bits")
 
 
+def _node(id_col: str, text_col: str) -> Column:
+    """Rows of equal id and text are one node."""
+    return F.xxhash64(column(id_col).cast("long"), F.xxhash64(F.coalesce(column(text_col), F.lit(""))))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What stands in each row (doc_id, node, n_shingles, set_key), and for each set_key its class's least: struct(none (no id),
+    doc_id, node), which is one node also where ids are null or stand twice."""
+    bands = bands_for(percent)
+    read = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("t"), _node(id_col, text_col).alias("node"))
+    signed = materialise(read.mapInPandas(frugal(_signatures(bands)), SIGNATURE))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    heads = signed.where("n_shingles > 0").groupBy("set_key").agg(low.alias("low")).withColumn("head", F.col("low.node"))
+    reps = signed.join(heads.select("set_key", "head"), "set_key").where("node = head").select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
+    met = reps.select("node", F.explode("bands").alias("bucket"))
+    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = met.join(full, "bucket").join(reps.select("node", "sketch"), "node")
+    blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
+    near = components(blocks.mapInPandas(frugal(lambda b: _joined(_sketch_edges(bands, percent / 100 - SKETCH_MARGIN)(b))), "a long, b long"))
+    weighed = near.join(reps.select("node", "n_shingles"), "node")
+    sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
+    # A text that stands in many rows is fetched once: rows of a node meet in their own tasks before the exchange.
+    once = _likely(read.select("node", "t"), near).groupBy("node").agg(F.first("t").alias("t"))
+    texts = in_blocks(once.join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
+    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(percent)(b))), "a long, b long"))
+    # Classes are settled among distinct sets; rows meet them once, by set.
+    classed = heads.join(links.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("root", "head"))
+    least = classed.groupBy("class").agg(F.min("low").alias("least"))
+    return signed.select("doc_id", "node", "n_shingles", "set_key"), classed.join(least, "class").select("set_key", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, node, n_shingles, component_id and kept for every row.
 
@@ -216,38 +248,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked at a similarity of `percent` or more; bands and the sketches' floor follow it.
 
     Null or wordless texts have no shingles and are linked with nothing.  Rows of equal id and text are one node and get
-    equal results.  Nodes and shingles are 64-bit hashes."""
-    bands, text = bands_for(percent), F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("node", F.xxhash64("doc_id", F.xxhash64("t")))
-    signed = materialise(read.mapInPandas(frugal(_signatures(bands)), SIGNATURE))
-    heads = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("node").alias("head"), F.min("doc_id").alias("low"))
-    reps = signed.join(heads, (F.col("node") == F.col("head")) & (signed["set_key"] == heads["set_key"])).select("node", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
-    met = reps.select("node", F.explode("bands").alias("bucket"))
-    full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = met.join(full, "bucket").join(reps.select("node", "sketch"), "node")
-    blocks = _dealt(in_blocks(shared, "bucket", "node", "size", SKETCH_BLOCK), ["bucket", "lo", "hi"])
-    near = components(blocks.mapInPandas(frugal(lambda b: _joined(_sketch_edges(bands, percent / 100 - SKETCH_MARGIN)(b))), "a long, b long"))
-    weighed = near.join(reps.select("node", "n_shingles"), "node")
-    sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
-    texts = in_blocks(_likely(read.select("node", "t"), near).join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
-    links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(percent)(b))), "a long, b long"))
-    # Classes are settled among distinct sets; rows meet them once, by set.
-    classed = heads.join(links.withColumnRenamed("node", "head"), "head", "left").withColumn("class", F.coalesce("root", "head"))
-    least = classed.groupBy("class").agg(F.min("low").alias("component_id"))
-    of_set = classed.join(least, "class").select("set_key", "component_id")
-    out = signed.select("doc_id", "node", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "node", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    equal results.  Null ids count as larger than all others; a class of null ids alone has a null component_id and all its
+    rows are kept here, where the id decides.  An empty table gives no rows.  Nodes and shingles are 64-bit hashes."""
+    signed, of_set = _classes(docs, id_col, text_col, percent)
+    out = signed.join(of_set, "set_key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs of which doc_id is the least of its component: one document of each group.  Wordless rows stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("node").alias("__gone")).distinct()
-    keyed = docs.withColumn("__node", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    return keyed.join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
+    """One row of docs for each class of near duplicates: that of the least doc_id, null ids last.  Where several rows have
+    that id and text, one of them stays; so no exact copy is left, of null ids neither.  Texts without a word are linked with
+    nothing: of those only rows that are equal in id and text become one.  All columns go along, whatever their names; an
+    empty table gives no rows."""
+    signed, of_set = _classes(docs, id_col, text_col, percent)
+    gone = signed.where("n_shingles > 0").join(of_set, "set_key").where("node != least.node").select("node").distinct()
+    rows = docs.select(_node(id_col, text_col).alias("node"), whole_row(docs).alias("row")).groupBy("node").agg(F.first("row").alias("row"))
+    return rows.join(gone, "node", "left_anti").select(*unpacked_row("row", docs.columns))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document at a similarity of 0.85; empty and null texts stand alone, repeated rows are of one class."""
     return near_duplicates(documents(spark, sf_dir)).drop("node")
 
 

@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, give_back, materialise, mix64, release_shuffles
+from .common import WordHashes, column, documents, give_back, materialise, mix64, release_shuffles
 
 #: Text bytes of a chunk and of a server's share, about: they bound a task's memory.  Raise both for more than terabytes.
 CHUNK_BYTES, SERVER_BYTES = 4_000_000, 10_000_000
-#: Documents are dealt to folds by CRC-32 of the id: HELD_OUT isn't learned from; DEV is, and its counts, each less the
-#: document's own, are what the mixture weights are learned on.
-FOLDS, HELD_OUT, DEV = 5, 1, 2
+#: Documents are dealt to folds by CRC-32 of the id: HELD_OUT isn't learned from.  Of the others one in DEV, by a hash of the
+#: text, is a development document: the mixture weights are learned on those, from counts that none of them has part in; so
+#: copies of a development document are held out with it.
+FOLDS, HELD_OUT, DEV = 5, 1, 5
+#: Chunks and servers that a task takes, about: there are as many tasks as the corpus needs, at least the session's.
+CHUNKS_PER_TASK = 2
 #: Buckets are powers of 4 of the context's count; likelihood ratios are summed up on a grid of steps of GRID nats.  So at
 #: most BUCKETS * 128 * 128 sums go to the driver, however large the corpus is.
 BUCKETS, GRID, ROUNDS = 24, 0.5, 60
@@ -72,7 +75,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 SENT = "server long, chunk long, keys binary, counts binary, tokens long"
-TOTALS = "chunk long, server long, totals binary, tokens long, vocabulary long"
+TOTALS = "chunk long, server long, totals binary, rest binary, tokens long, vocabulary long"
 
 
 def _send(key: tuple, pdf: pd.DataFrame, servers: int) -> pd.DataFrame:
@@ -100,21 +103,28 @@ def word_servers(servers: int) -> int:
 
 
 def _add_up(key: tuple, pdf: pd.DataFrame, servers: int) -> pd.DataFrame:
+    """The totals of each chunk's keys; for a development chunk also the rest, to which no such chunk has added."""
     keys = [np.cumsum(_unpack(b)) for b in pdf["keys"]]
     counts = np.concatenate([_unpack(b) for b in pdf["counts"]])
     known, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.zeros(len(known), np.uint64)
+    lengths, dev = [len(k) for k in keys], pdf["chunk"].to_numpy() % 2 == 1
+    totals, rest = np.zeros(len(known), np.uint64), np.zeros(len(known), np.uint64)
     np.add.at(totals, at, counts)
-    ends = np.cumsum([len(k) for k in keys])
-    out = pd.DataFrame({"chunk": pdf["chunk"], "server": key[0], "totals": [_pack(totals[x]) for x in np.split(at, ends[:-1])], "tokens": pdf["tokens"], "vocabulary": 0})
+    learned = np.repeat(~dev, lengths)
+    np.add.at(rest, at[learned], counts[learned])
+    parts = np.split(at, np.cumsum(lengths)[:-1])
+    out = pd.DataFrame({
+        "chunk": pdf["chunk"], "server": key[0], "totals": [_pack(totals[x]) for x in parts], "rest": [_pack(rest[x]) if d else b"" for x, d in zip(parts, dev, strict=True)],
+        "tokens": pdf["tokens"], "vocabulary": 0,
+    })
     if key[0] >= servers:
         out.loc[out.index[0], "vocabulary"] = int((totals > 0).sum())
     return out
 
 
-def _totals(pdf: pd.DataFrame, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+def _totals(pdf: pd.DataFrame, t: Tokens, which: str = "totals") -> tuple[np.ndarray, np.ndarray]:
     """Corpus counts of the chunk's pairs and of its words, in the order of their keys."""
-    got = np.concatenate([_unpack(b) for b in pdf.sort_values("server")["totals"]]).astype(np.float64)
+    got = np.concatenate([_unpack(b) for b in pdf.sort_values("server")[which]]).astype(np.float64)
     return got[: len(t.pair_keys)], got[len(t.pair_keys) :]
 
 
@@ -131,22 +141,14 @@ EVIDENCE = "bucket long, pair long, word long, n long"
 
 
 def _evidence(key: tuple, pdf: pd.DataFrame, sums: pd.DataFrame, tokens: int, vocabulary: int) -> pd.DataFrame:
-    """How often each cell of (bucket, pair ratio, word ratio) to the uniform estimate occurs, each document's own counts deleted."""
+    """How often each cell of (bucket, pair ratio, word ratio) to the uniform estimate occurs in a development chunk, by counts
+    that no development document has part in."""
     if not len(pdf):
         return pd.DataFrame({c.split()[0]: [] for c in EVIDENCE.split(", ")}, dtype=np.int64)
     t = tokens_of(pdf["t"].tolist(), WordHashes())
-    pairs, words = _totals(sums, t)
-    doc = np.repeat(np.arange(len(pdf)), t.lengths)
-
-    def rest(total: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
-        n = np.int64(len(total))
-        known, counts = np.unique(doc * n + own, return_counts=True)
-        where = np.minimum(np.searchsorted(known, doc * n + at), len(known) - 1)
-        return total[at] - np.where(known[where] == doc * n + at, counts[where], 0)
-
-    context = rest(words, t.context, t.word)
-    pair = _ratio(rest(pairs, t.pair, t.pair), context)
-    word = _ratio(rest(words, t.word, t.word), tokens - t.lengths[doc].astype(np.float64))
+    pairs, words = _totals(sums, t, "rest")
+    context = words[t.context]
+    pair, word = _ratio(pairs[t.pair], context), words[t.word] / max(tokens, 1)
     cell = lambda p: np.where(p > 0, np.clip(np.rint(np.log(np.maximum(p, 1e-300) * (vocabulary + 1)) / GRID) + 32, 1, 127), 0).astype(np.int64)
     cells, n = np.unique((bucket_of(context) * 128 + cell(pair)) * 128 + cell(word), return_counts=True)
     return pd.DataFrame({"bucket": cells >> 14, "pair": cells >> 7 & 127, "word": cells & 127, "n": n})
@@ -192,7 +194,7 @@ def _score(key: tuple, pdf: pd.DataFrame, sums: pd.DataFrame, tokens: int, vocab
 
 
 def _fold(id_col: str) -> Column:
-    return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("long")
+    return (F.crc32(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("long")
 
 
 def _with_key(f, **fixed):
@@ -213,9 +215,14 @@ def _with_sums(f, **fixed):
     return of_group
 
 
+def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df dealt by key over tasks whose number follows that of the groups, not only the session's setting."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // CHUNKS_PER_TASK)), key)
+
+
 def _exchange(dealt: DataFrame, servers: int) -> DataFrame:
     sent = dealt.groupBy("chunk").applyInPandas(_with_key(_send, servers=servers), SENT)
-    return materialise(sent.groupBy("server").applyInPandas(_with_key(_add_up, servers=servers), TOTALS))
+    return materialise(_dealt(sent, "server", servers).groupBy("server").applyInPandas(_with_key(_add_up, servers=servers), TOTALS))
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,23 +231,28 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     P(w | u) mixes count(u w) / count(u), count(w) / N and 1 / (V + 1) with weights that depend on how often u was seen.
     A null text is empty and has one token, its end; a repeated row counts and is scored as often as it stands; an empty
     table gives no rows.  The totals are written to the shared folder once; the driver gets N, V and a bounded grid of sums."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), _fold(id_col).alias("fold"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    read = docs.select(column(id_col).cast("long").alias("doc_id"), text.alias("t"), _fold(id_col).alias("fold"))
     size = read.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(1))).first()[0]
     chunks, servers = -(-size // CHUNK_BYTES), -(-size // SERVER_BYTES)
-    # Development documents have chunks of their own, so learning the weights reads those alone.
-    chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("t")), F.lit(chunks)) * 2 + (F.col("fold") == DEV).cast("long")
-    dealt = read.withColumn("chunk", chunk)
+    # Development documents have chunks of their own, of odd numbers, so learning the weights reads those alone.
+    dev = (F.col("fold") != HELD_OUT) & (F.pmod(F.xxhash64("t"), F.lit(DEV)) == 0)
+    chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("t")), F.lit(chunks)) * 2 + dev.cast("long")
+    texts = read.withColumn("chunk", chunk)
+    dealt = _dealt(texts, "chunk", chunks)
     totals = _exchange(dealt, servers)
     release_shuffles(docs.sparkSession)  # what was exchanged for the totals is as large as the texts
-    tokens, vocabulary = (int(x or 0) for x in totals.agg(F.sum("tokens"), F.sum("vocabulary")).first())
-    dev = dealt.where(F.col("fold") == DEV).groupBy("chunk").cogroup(totals.where("chunk % 2 = 1").groupBy("chunk"))
-    cells = dev.applyInPandas(_with_sums(_evidence, tokens=tokens, vocabulary=vocabulary), EVIDENCE)
+    n = totals.agg(F.sum("tokens"), F.sum("vocabulary"), F.sum(F.when(F.col("chunk") % 2 == 0, F.col("tokens")))).first()
+    tokens, vocabulary, rest = (int(x or 0) for x in n)
+    some = _dealt(texts.where(dev), "chunk", chunks).groupBy("chunk").cogroup(_dealt(totals.where("chunk % 2 = 1").drop("totals"), "chunk", chunks).groupBy("chunk"))
+    cells = some.applyInPandas(_with_sums(_evidence, tokens=rest, vocabulary=vocabulary), EVIDENCE)
     weights = learn_weights(cells.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toPandas())
-    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(_with_sums(_score, tokens=tokens, vocabulary=vocabulary, weights=weights), SCORES)
+    both = dealt.groupBy("chunk").cogroup(_dealt(totals.drop("rest"), "chunk", chunks).groupBy("chunk"))
+    return both.applyInPandas(_with_sums(_score, tokens=tokens, vocabulary=vocabulary, weights=weights), SCORES)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; a null text is empty, repeated rows are scored each."""
     return score_corpus(documents(spark, sf_dir))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frugal
+from .common import column, documents, frugal, materialise
 
 #: Samples a second as stored, and as analysed.
 RATE_IN, RATE_OUT = 16_000, 10_000
@@ -116,14 +116,46 @@ def decode_wav(media: bytes) -> bytes:
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "n_frames long, mel binary, segments array<struct<start_ms:long,end_ms:long>>, mean_mel array<float>"
+    "n_frames long, tensors binary, segments array<struct<start_ms:long,end_ms:long>>, mean_mel array<float>"
 )
+DIGESTED = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+READ_BACK = ", ".join(c for c in FEATURES.split(", ")[: len(DIGESTED)]) + ", feature string, mel_crc32 long, end_ms long"
+#: The cell of the column `tensors`: an Arrow IPC stream with one row for each patch.
+TENSORS = pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS], dim_names=["frame", "mel"]))])
+#: Texts that a task takes at a time, and bytes of results that it holds.
+TEXTS, HELD = 256, 8_000_000
+
+
+def pack_tensors(mels: np.ndarray, samples: int) -> bytes:
+    """Frames x MELS as fixed-shape tensors (PATCH, MELS), the last one padded with silence, and the span of the sound that
+    each covers; the last span ends with the sound, of `samples` samples as stored."""
+    fixed = np.pad(mels, ((0, -len(mels) % PATCH), (0, 0)), constant_values=np.log(np.float32(1e-6))).astype(np.float32)
+    n, span, end = len(fixed) // PATCH, PATCH * HOP * 1000 // RATE_OUT, -(-samples * 1000 // RATE_IN)
+    start = np.arange(n, dtype=np.int64) * span
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(fixed.ravel(), pa.float32()), PATCH * MELS)
+    batch = pa.record_batch([pa.array(start), pa.array(np.minimum(start + span, max(end, 1))), pa.ExtensionArray.from_storage(TENSORS.field("tensor").type, flat)], schema=TENSORS)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, TENSORS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpack_tensors(cell: bytes) -> pa.Table:
+    """start_ms, end_ms and tensor, a fixed-shape tensor column, of one cell."""
+    with pa.ipc.open_stream(cell) as r:
+        return r.read_all()
+
+
+def mel_of(cell: bytes) -> np.ndarray:
+    """The patches of a cell as one array (n, PATCH, MELS)."""
+    tensor = unpack_tensors(cell)["tensor"].combine_chunks()
+    return tensor.to_numpy_ndarray() if len(tensor) else np.empty((0, PATCH, MELS), np.float32)
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for at in range(0, len(pdf), 512):
-            part = pdf.iloc[at : at + 512]
+        for at in range(0, len(pdf), TEXTS):
+            part = pdf.iloc[at : at + TEXTS]
             raw = [t.encode() for t in part["t"]]
             media = [encode_wav(b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")) for b in raw]
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(b) for b in raw], "media": media})
@@ -132,54 +164,58 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in FEATURES.split(", ")]
     for pdf in batches:
-        rows = []
+        rows, held = [], 0
         for doc_id, n_bytes, media in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
             payload = decode_wav(media)
             mels, energy = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
             spans = [{"start_ms": s * HOP * 1000 // RATE_OUT, "end_ms": e * HOP * 1000 // RATE_OUT} for s, e in segments(energy)]
-            fixed = np.pad(mels, ((0, -len(mels) % PATCH), (0, 0)), constant_values=np.log(np.float32(1e-6)))
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), fixed.astype("<f4").tobytes(), spans, mels.mean(0)))
-            if len(rows) == 256:
+            tensors = pack_tensors(mels, len(payload))
+            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mels), tensors, spans, mels.mean(0)))
+            held += len(tensors)
+            if len(rows) == TEXTS or held > HELD:
                 yield pd.DataFrame(rows, columns=names)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the WAV file of each text.  A null text is empty: one block of 64 zero bytes."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(frugal(_encode), MEDIA)
+    """doc_id, n_bytes and the WAV file of each text.  A null text is empty: one block of 64 zero bytes.  Repeated rows give
+    repeated results; an empty table gives no rows; other columns take no part, whatever their names."""
+    return docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("t")).mapInPandas(frugal(_encode), MEDIA)
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Features of stored files: mel holds row-major 32-bit floats of shape (n, PATCH, MELS), the last patch padded with silence;
-    segments are time spans.  One pass, no exchange; equal bytes give equal values."""
+    """Features of stored files: tensors is a cell that unpack_tensors reads (fixed-shape tensors of log-mel patches with their
+    time spans); segments are time spans.  One pass, no exchange; equal bytes give equal values."""
     return media.mapInPandas(frugal(_analyse), FEATURES)
 
 
 def tensor_table(pdf: pd.DataFrame) -> pa.Table:
-    """Rows of audio_features as an Arrow table with one fixed-shape tensor (PATCH, MELS) for each patch, and its time span."""
-    ids, starts, patches = [], [], []
-    for doc_id, mel in zip(pdf["doc_id"], pdf["mel"], strict=True):
-        for k, patch in enumerate(np.frombuffer(mel, "<f4").reshape(-1, PATCH, MELS)):
-            ids.append(doc_id)
-            starts.append(k * PATCH * HOP * 1000 // RATE_OUT)
-            patches.append(patch)
-    cells = np.stack(patches) if patches else np.empty((0, PATCH, MELS), np.float32)
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel(), pa.float32()), PATCH * MELS)
-    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS], dim_names=["frame", "mel"]), flat)
-    span = PATCH * HOP * 1000 // RATE_OUT
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "start_ms": pa.array(starts, pa.int64()), "end_ms": pa.array([s + span for s in starts], pa.int64()), "tensor": tensor})
+    """Rows of audio_features as one Arrow table: doc_id, start_ms, end_ms, tensor, a row for each patch."""
+    tables = [unpack_tensors(c) for c in pdf["tensors"]]
+    ids = np.repeat(pdf["doc_id"].to_numpy(), [t.num_rows for t in tables])
+    whole = pa.concat_tables([TENSORS.empty_table(), *tables])
+    return whole.add_column(0, "doc_id", pa.array(ids, pa.int64(), from_pandas=True))
+
+
+def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        crc = [zlib.crc32(mel_of(c).astype("<f4").tobytes()) for c in pdf["tensors"]]
+        end = [int(unpack_tensors(c)["end_ms"][-1].as_py()) for c in pdf["tensors"]]
+        yield pdf.drop(columns="tensors").assign(mel_crc32=crc, end_ms=end)
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the media column of every document."""
-    rows = audio_features(encode_media(documents(spark, sf_dir)))
+    """Digest of the media column of every document: tensors are written with their spans, and read again for it.  A null text
+    is empty; equal texts have equal values."""
+    stored = materialise(audio_features(encode_media(documents(spark, sf_dir))))
     feature = F.to_json(F.struct(
-        F.lit(RATE_OUT).alias("rate"), "n_frames", F.lit([PATCH, MELS]).alias("shape"), F.crc32("mel").alias("mel_crc32"),
-        F.transform("mean_mel", lambda x: F.round(x, 2)).alias("mean_mel"), "segments",
-    ))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+        F.lit(RATE_OUT).alias("rate"), "n_frames", F.lit([PATCH, MELS]).alias("shape"), F.transform("mean_mel", lambda x: F.round(x, 2)).alias("mean_mel"), "segments",
+    ))
+    rows = stored.select(*DIGESTED, "tensors", feature.alias("feature")).mapInPandas(frugal(_read_back), READ_BACK)
+    whole = F.concat(F.lit('{"mel_crc32":'), F.col("mel_crc32").cast("string"), F.lit(',"end_ms":'), F.col("end_ms").cast("string"), F.lit(","), F.substring("feature", F.lit(2), F.length("feature")))
+    return rows.select(*DIGESTED, whole.alias("feature"))
 
 
 QUERIES = {"op7_audio": op7_audio}

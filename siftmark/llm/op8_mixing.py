@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense_rank_within, documents
+from .common import column, dense_rank_within, documents, unpacked_row, whole_row
 
 #: Target weights of the production mixture, in parts.  Every source that isn't named, and the null source, shares REST.
 TARGETS = {f"src{i}": 1 + i % 5 for i in range(20)}
@@ -71,23 +71,24 @@ def _pool(source: Column, targets: dict[str, int]) -> Column:
     return F.when(source.isin(*targets), source).otherwise(F.lit(REST)) if targets else F.lit(REST)
 
 
-def mix(docs: DataFrame, targets: dict[str, int] | None = None, rest: int = REST_PARTS, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with __pool, __block, __slot, __within and __position (0, 1, ...: the order of the mixture).
+def placed(docs: DataFrame, targets: dict[str, int] | None = None, rest: int = REST_PARTS, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """row (the whole row of docs), pool, block, slot, within and position (0, 1, ...: the order of the mixture).
 
-    Within a source, documents stand in the order of the MD5 of their id, which the id alone decides.  Rows of equal id
-    stand side by side.  Nothing is dropped or repeated.  A null source is in the rest; an empty table gives no rows.
-    What goes through the driver is a count for each named source; tasks hold slices of a source, never a source."""
+    Within a source, documents stand in the order of the MD5 of their id, which the id alone decides; rows without an id
+    come after the others, by a hash of the row.  Rows of equal id stand side by side.  Nothing is dropped or repeated.  A
+    null source is in the rest; an empty table gives no rows.  What goes through the driver is a count for each named source;
+    tasks hold slices of a source, never a source."""
     targets = TARGETS if targets is None else targets
     if rest < 1 or min(targets.values(), default=0) < 0:
         raise ValueError("parts are whole numbers, of the rest at least 1: its documents must go somewhere")
     parts = {**{k: v for k, v in targets.items() if v > 0}, REST: rest}
     named = {k: v for k, v in targets.items() if v > 0}
-    pooled = docs.withColumn("__pool", _pool(F.col(source_col), named))
-    counts = {r[0]: r[1] for r in pooled.groupBy("__pool").count().collect()}  # one row for each named source at most
+    pooled = docs.select(whole_row(docs).alias("row"), column(id_col).alias("id"), _pool(column(source_col), named).alias("pool"))
+    counts = {r[0]: r[1] for r in pooled.groupBy("pool").count().collect()}  # one row for each named source at most
     pieces = schedule({p: -(-n // block) for p, n in counts.items()}, parts)
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    ranked = dense_rank_within(pooled.withColumn("__key", key), "__pool", ["__key", id_col], F.substring("__key", 1, 3), "__k")
-    ranked = ranked.withColumns({"__block": F.floor(F.col("__k") / block).cast("long"), "__within": (F.col("__k") % block).cast("int")})
+    key = F.when(F.col("id").isNotNull(), F.md5(F.col("id").cast("string").cast("binary"))).otherwise(F.concat(F.lit("z"), F.lpad(F.hex(F.xxhash64("row")), 16, "0")))
+    ranked = dense_rank_within(pooled.withColumn("key", key), "pool", ["key", "id"], F.substring("key", 1, 3), "k")
+    ranked = ranked.withColumns({"block": F.floor(F.col("k") / block).cast("long"), "within": (F.col("k") % block).cast("int")})
     # Position: blocks are full but for the last of each pool, which lacks a known number at a known slot.
     at = {p.pool: p for p in pieces}  # the last piece of each pool
     short = []
@@ -95,34 +96,43 @@ def mix(docs: DataFrame, targets: dict[str, int] | None = None, rest: int = REST
         if n % block:
             j = at[pool].last - at[pool].first
             short.append((at[pool].slot + j // len(at[pool].offsets) * at[pool].period + at[pool].offsets[j % len(at[pool].offsets)], block - n % block))
+    names = ("row", "pool", "block", "slot", "within", "position")
     if not pieces:
-        return ranked.withColumns({"__slot": F.lit(None).cast("long"), "__position": F.lit(None).cast("long")}).drop("__key", "__k")
+        return ranked.withColumns({"slot": F.lit(None).cast("long"), "position": F.lit(None).cast("long")}).select(*names)
     table = [
-        F.struct(F.lit(p.pool).alias("__p"), F.lit(p.first).cast("long").alias("__first"), F.lit(p.last).cast("long").alias("__last"), F.lit(p.slot).cast("long").alias("__start"), F.lit(p.period).cast("long").alias("__period"), F.lit(p.offsets).alias("__offsets"))
+        F.struct(F.lit(p.pool).alias("p"), F.lit(p.first).cast("long").alias("first"), F.lit(p.last).cast("long").alias("last"), F.lit(p.slot).cast("long").alias("start"), F.lit(p.period).cast("long").alias("period"), F.lit(p.offsets).alias("offsets"))
         for p in pieces
     ]
     # At most (targets + 1) squared rows, whose offsets sum to the parts for each phase: bounded by the weights, not the data.
     plan = docs.sparkSession.range(1).select(F.inline(F.array(*table)))
-    placed = ranked.join(F.broadcast(plan), (F.col("__pool") == F.col("__p")) & F.col("__block").between(F.col("__first"), F.col("__last")))
-    j, n = F.col("__block") - F.col("__first"), F.size("__offsets")
-    slot = F.col("__start") + F.floor(j / n).cast("long") * F.col("__period") + F.get(F.col("__offsets"), (j % n).cast("int"))
+    met = ranked.join(F.broadcast(plan), (F.col("pool") == F.col("p")) & F.col("block").between(F.col("first"), F.col("last")))
+    j, n = F.col("block") - F.col("first"), F.size("offsets")
+    slot = F.col("start") + F.floor(j / n).cast("long") * F.col("period") + F.get(F.col("offsets"), (j % n).cast("int"))
     lacking = F.lit(0).cast("long")
     for s, d in short:
-        lacking = lacking + F.when(F.col("__slot") > s, F.lit(d)).otherwise(F.lit(0))
-    out = placed.withColumn("__slot", slot).withColumn("__position", F.col("__slot") * block + F.col("__within") - lacking)
-    return out.drop("__key", "__k", "__p", "__first", "__last", "__start", "__period", "__offsets")
+        lacking = lacking + F.when(F.col("slot") > s, F.lit(d)).otherwise(F.lit(0))
+    return met.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("within") - lacking).select(*names)
+
+
+def mix(docs: DataFrame, targets: dict[str, int] | None = None, **options) -> DataFrame:
+    """docs with __pool, __block, __slot, __within and __position, as `placed` gives them; columns of docs that have these
+    names are replaced."""
+    names = ("pool", "block", "slot", "within", "position")
+    kept = [c for c in docs.columns if c not in {f"__{n}" for n in names}]
+    return placed(docs, targets, **options).select(*unpacked_row("row", kept), *(F.col(n).alias(f"__{n}") for n in names))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with the same columns, in the order of the mixture: sorted by range over the files that are written."""
-    return mix(docs, **options).orderBy("__position").select(*docs.columns)
+    """docs with the same columns, in the order of the mixture: sorted by range over the files that are written.  Repeated rows
+    and rows without an id all stay; columns go along whatever their names."""
+    return placed(docs, **options).orderBy("position").select(*unpacked_row("row", docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every document in the production mixture."""
-    placed = mix(documents(spark, sf_dir).select("doc_id", "source"))
-    names = ("pool", "block", "within", "slot", "position")
-    return placed.select("doc_id", "source", *(F.col(f"__{c}").alias(c) if c == "pool" else F.col(f"__{c}").cast("long").alias(c) for c in names))
+    """The place of every document in the production mixture.  Null sources are in the rest; repeated rows have places side by
+    side."""
+    out = placed(documents(spark, sf_dir).select("doc_id", "source"))
+    return out.select("row.doc_id", "row.source", "pool", *(F.col(c).cast("long").alias(c) for c in ("block", "within", "slot", "position")))
 
 
 def _oracle() -> str:

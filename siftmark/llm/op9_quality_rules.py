@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, documents, words_of
+from .common import SPACE_RUN, column, documents, unpacked_row, whole_row, words_of
 
 
 class Rule(NamedTuple):
@@ -62,9 +62,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     A null text is an empty one: all counts are 0.  Repeated rows give repeated results; other columns of docs are
     ignored, whatever their names.  Three narrow projections, no exchange: each array is made once and dropped.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     row = ["__row"] if carry else []
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *(F.struct(*docs.columns).alias(c) for c in row))
+    base = docs.select(column(id_col).alias("doc_id"), text.alias("t"), *(whole_row(docs).alias(c) for c in row))
     cut = base.select("doc_id", "t", *row, words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
     # xxhash64 chains its arguments, so ("a","bc") and ("ab","c") differ.
@@ -115,11 +115,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the table keeps, with the columns of docs; no join and no exchange."""
-    return quality_rules(docs, rules, id_col, text_col, carry=True).where("kept").select("__row.*")
+    """The rows of docs that the table keeps, with the columns of docs whatever their names; no join and no exchange.  Null
+    and empty texts are rejected; repeated rows stay as often as they stand."""
+    return quality_rules(docs, rules, id_col, text_col, carry=True).where("kept").select(*unpacked_row("__row", docs.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document under the production table; a null text counts as empty and is rejected."""
     return quality_rules(documents(spark, sf_dir))
 
 

@@ -33,7 +33,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def components(rows):
+def components(rows, percent=85):
     """rows of (doc_id, text) with unique ids: {doc_id: component_id}."""
     sets = {i: shingles(t) for i, t in rows}
     ids, of = sorted(sets), {i: i for i in sets}
@@ -46,7 +46,7 @@ def components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if sets[a] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 of[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}

@@ -64,10 +64,21 @@ def test_near_dedup_of_odd_tables(odd, nothing):
     kept = op2.near_dedup(odd)
     assert kept.columns == odd.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids[1] == 2 and not ids[2] and not ids[8] and ids[7] == 2 and ids[3] == ids[4] == ids[5] == 1
+    assert not ids[2] and not ids[8] and ids[7] == 2 and ids[1] == ids[3] == ids[4] == ids[5] == 1
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert set(texts.values()) == {1} and ids[None] == 3  # no exact copy is left, of null ids neither
     assert op2.near_duplicates(nothing).count() == 0
 
 
+def test_near_copies_without_ids_become_one(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (None, " ".join([*words, "x"])), (5, "other text"), (None, "one"), (None, "one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in op2.near_dedup(df).collect()) == [(0, "one"), (0, "w0 w1"), (5, "other")]
+    df = df.unionByName(spark.createDataFrame([(9, " ".join(["y", *words]))], df.schema))
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in op2.near_dedup(df).collect()) == [(0, "one"), (5, "other"), (9, "y w0 ")]
+
+
 def test_sketches_estimate_similarity():
     h = WordHashes()
     base = [f"t{i}" for i in range(2000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftmark.llm import op1_quality_classifier as op1
@@ -73,6 +75,67 @@ def test_classifier_of_odd_tables(odd, nothing):
     assert op1.classify(nothing, empty).count() == 0 and op1.classify(odd, empty).count() == odd.count()
 
 
+def test_without_labels_prose_stays_and_insults_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, _ = op1.train(docs, None)
+    got = op1.classify(docs, model).join(labels.where("quality = 1 AND toxic = 0"), "doc_id").collect()
+    assert sum(r["kept"] for r in got) / len(got) > 0.97
+    texts = ["You are a stupid idiot and a pathetic loser, you worthless scum of the earth and that is it.", "It is on the table with the book that was in the garden of the house, and the sun is out."]
+    out = op1.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert out[0]["p_toxic"] > 0.5 > out[1]["p_toxic"]
+
+
+def test_an_aspect_of_one_class_gives_the_prior():
+    w, bias = op1.fit_aspect([np.array([1, 2]), np.array([2, 3])], np.array([0.1, 0.2]), 0.05)
+    assert not w.any() and bias == pytest.approx(math.log(0.05 / 0.95))
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(None, f"text {i % 900}") for i in range(4000)] + [(7, "the same")] * 3000 + [(i, "a longer text of several words " * 3) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for most in (40, 500):
+        got = op1.sample(docs, docs.count(), most).collect()
+        assert 0 < len(got) <= most and len({r["place"] for r in got}) == len(got)
+    few = op1.sample(docs, docs.count(), 5000, features=2000).collect()
+    assert 0 < sum(r["n"] for r in few) <= 2000 and len(op1.sample(docs, docs.count(), 10**6).collect()) == 1901
+
+
+def plain_em(votes, rounds=100):
+    """EM over single rows of votes (0 abstains, 1 no, 2 yes), not over patterns: each row's posterior of yes."""
+    votes = np.array(votes)
+    cast = (votes > 0).sum(1)
+    post = np.where(cast > 0, (votes == 2).sum(1) / np.maximum(cast, 1), 0.5)
+    for _ in range(rounds):
+        prior, odds = (post.sum() + 1) / (len(post) + 2), np.zeros(len(post))
+        for k in range(votes.shape[1]):
+            yes, no = votes[:, k] == 2, votes[:, k] == 1
+            hit, miss = (post[yes].sum() + 2) / (post[yes | no].sum() + 3), ((1 - post)[no].sum() + 2) / ((1 - post)[yes | no].sum() + 3)
+            odds[yes] += math.log(hit / (1 - miss))
+            odds[no] += math.log((1 - hit) / miss)
+        post = 1 / (1 + np.exp(-(odds + math.log(prior / (1 - prior)))))
+    return post
+
+
+def test_query_equals_plain_em_and_scorer(spark, sf_dir, documents):
+    docs = {r["doc_id"]: r["text"] for r in documents.collect()}
+    table = {r["doc_id"]: (r["quality"] + 1, r["toxic"] + 1) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    order = [r["doc_id"] for r in documents.select("doc_id", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(10**15)).alias("p")).orderBy("p").collect()]
+    seen = {i: op1.profile(docs[i]) for i in order}
+    memory, score = {}, {}
+    rows = [op1.features_of(*seen[i], memory) for i in order]
+    for k, aspect in enumerate(op1.ASPECTS):
+        votes = [[f(seen[i][0]) for f in aspect.values()] + [table.get(i, (0, 0))[k]] for i in order]
+        post = plain_em(votes)
+        use = [any(v) if k == 0 else v[-1] > 0 or 2 in v[:-1] for v in votes]
+        at = [n for n, u in enumerate(use) if u]
+        w, bias = op1.fit([rows[n] for n in at], post[at], np.abs(2 * post[at] - 1))
+        score[k] = {i: 1 / (1 + math.exp(-max(-30, min(30, float(w[r].sum()) + bias)))) for i, r in zip(order, rows, strict=True)}
+    for r in op1.op1_quality_classifier(spark, sf_dir).collect():
+        assert r["p_quality"] == pytest.approx(score[0][r["doc_id"]], abs=1e-3) and r["p_toxic"] == pytest.approx(score[1][r["doc_id"]], abs=1e-3)
+        assert r["kept"] == (r["p_quality"] >= 0.5 and r["p_toxic"] < 0.5)
+
+
 def test_repeated_labels_make_no_rows(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
@@ -145,6 +208,17 @@ def test_scoring_of_odd_tables(odd, nothing):
     assert op5.score_corpus(nothing).count() == 0
 
 
+def test_evidence_is_held_out_with_its_copies(spark, monkeypatch):
+    """A text that stands ten times lends no evidence to itself: its words are unknown to the counts that weights are learned on."""
+    seen = []
+    monkeypatch.setattr(op5, "learn_weights", lambda e: (seen.append(e), np.full((op5.BUCKETS, 3), 1 / 3))[1])
+    dev = next(t for t in (" ".join(f"q{i}x{k}" for k in range(30)) for i in range(200)) if spark.range(1).select((F.pmod(F.xxhash64(F.lit(t)), F.lit(op5.DEV)) == 0).alias("d")).first()["d"])
+    rows = [(i, dev) for i in range(10)] + [(100 + i, f"other words {i % 7} of text") for i in range(60)]
+    op5.score_corpus(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    copies = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(10))
+    assert seen[0][(seen[0]["pair"] == 0) & (seen[0]["word"] == 0)]["n"].sum() >= 29 * copies
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
@@ -196,6 +270,19 @@ def test_every_id_lies_in_one_piece_and_sequences_fit(spark, documents):
     assert all(len(r["input_ids"]) == 1024 or r["n_tokens"] == len(r["input_ids"]) and r["n_tokens"] & (r["n_tokens"] - 1) == 0 for r in laid.values())
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=80) | st.text(st.sampled_from(" \n\t'sS1aé\xa0<|."), max_size=200))
+def test_ids_of_latin_1_texts_are_those_of_the_tokenizer(text):
+    assert op6.encoder()(text).tolist() == op6.encoder(ranks=None)(text).tolist()
+
+
+def test_sequences_of_repeated_rows_and_null_ids(odd):
+    places = op6.pack(odd, group=50)
+    laid = op6.sequences(odd, places).collect()
+    assert sum(r["n_tokens"] for r in laid) == sum(r["length"] for r in places.collect())
+    assert len({r["sequence_id"] for r in laid}) == len(laid)
+
+
 def test_packing_of_odd_tables(odd, nothing):
     got = op6.pack(odd).collect()
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(r["doc_id"] for r in odd.collect())
@@ -260,11 +347,36 @@ def test_tensors_have_fixed_shape_and_spans(spark, documents):
     pdf = op7.audio_features(op7.encode_media(documents.limit(5))).toPandas()
     table = op7.tensor_table(pdf)
     assert table.schema.field("tensor").type.shape == [op7.PATCH, op7.MELS]
-    assert table.num_rows == sum(len(m) // (4 * op7.PATCH * op7.MELS) for m in pdf["mel"])
-    assert set(np.array(table["end_ms"]) - np.array(table["start_ms"])) == {640}
+    assert table.num_rows == sum(-(-n // op7.PATCH) for n in pdf["n_frames"])
+    ends = {}
+    for i, a, b in zip(table["doc_id"].to_pylist(), table["start_ms"].to_pylist(), table["end_ms"].to_pylist(), strict=True):
+        assert a % 640 == 0 and 0 < b - a <= 640
+        ends[i] = max(b, ends.get(i, 0))
+    assert ends == {i: -(-n * 1000 // op7.RATE_IN) for i, n in zip(pdf["doc_id"], pdf["payload_bytes"], strict=True)}  # with the sound
     assert op7.tensor_table(pdf.iloc[:0]).num_rows == 0
 
 
+def test_query_equals_a_plain_version(spark, sf_dir, documents):
+    """The whole feature string, from tensors that were stored and read again."""
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in op7.op7_audio(spark, sf_dir).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        mels, energy = op7.log_mel(op7.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+        fixed = np.concatenate([mels, np.full((-len(mels) % op7.PATCH, op7.MELS), np.log(np.float32(1e-6)), np.float32)])
+        got = json.loads(r["feature"])
+        assert got["mel_crc32"] == zlib.crc32(fixed.astype("<f4").tobytes()) and got["n_frames"] == len(mels)
+        assert got["segments"] == [{"start_ms": 10 * a, "end_ms": 10 * b} for a, b in op7.segments(energy)]
+        assert got["end_ms"] == -(-len(payload) * 1000 // op7.RATE_IN) and np.allclose(got["mean_mel"], mels.mean(0), atol=0.006)
+
+
+def test_cells_hold_tensors_of_any_number():
+    for n in (1, 64, 65, 200):
+        mels = np.random.default_rng(n).standard_normal((n, op7.MELS)).astype(np.float32)
+        back = op7.mel_of(op7.pack_tensors(mels, n * 160))
+        assert back.shape == (-(-n // op7.PATCH), op7.PATCH, op7.MELS) and (back.reshape(-1, op7.MELS)[:n] == mels).all()
+
+
 def test_audio_of_odd_tables(odd, nothing):
     got = op7.audio_features(op7.encode_media(odd)).collect()
     assert len(got) == odd.count() and all(r["payload_bytes"] == 64 for r in got if r["doc_id"] in (3, 4, 5))

@@ -11,23 +11,6 @@ from siftmark.llm import op2_near_dedup as op2
 from . import plain
 
 
-def components_at(rows, percent):
-    sets, of = {i: plain.shingles(t) for i, t in rows}, {i: i for i, _ in rows}
-
-    def find(x):
-        while of[x] != x:
-            x = of[x]
-        return x
-
-    for a in sorted(sets):
-        for b in sorted(sets):
-            both = len(sets[a] & sets[b])
-            if a < b and sets[a] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
-                of[y] = x
-    return {i: find(i) for i in of}
-
-
 def copies():
     """Pairs of 200 words that share 0.76 to 0.91 of their shingles, each pair of words of its own."""
     r, rows = random.Random(8), []
@@ -48,6 +31,6 @@ def test_bands_follow_the_threshold():
 def test_components_at_a_threshold_equal_exact_ones(spark, documents, percent):
     rows = copies() + [(1000 + r["doc_id"], r["text"]) for r in documents.collect()]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = components_at(rows, percent)
+    want = plain.components(rows, percent)
     assert {r["doc_id"]: r["component_id"] for r in op2.near_duplicates(df, percent=percent).collect()} == want
     assert sorted(r["doc_id"] for r in op2.near_dedup(df, percent=percent).collect()) == sorted(i for i, c in want.items() if i == c)

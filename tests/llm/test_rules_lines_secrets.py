@@ -7,6 +7,8 @@ import os
 
 import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from siftmark.llm import op4_line_dedup as op4
 from siftmark.llm import op8_mixing as op8
@@ -72,6 +74,16 @@ def test_lines_equal_a_plain_version(spark, documents):
     assert {i: t for i, t in got.items() if t != want[i]} == {}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.integers(0, 7), max_size=14), min_size=2, max_size=12))
+def test_lines_of_few_kinds_equal_a_plain_version(spark, docs):
+    """Texts of eight lines of 0 to 60 words, in any order: runs cross, overlap, and share all but their ends."""
+    kinds = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefgh", (0, 1, 9, 17, 24, 30, 49, 60), strict=True)]
+    rows = [(i, "\n".join(kinds[k] for k in d)) for i, d in enumerate(docs)]
+    got = {r["doc_id"]: r["text"] for r in op4.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == plain.line_dedup(rows)
+
+
 def test_lines_of_odd_tables(spark, odd, nothing):
     got = op4.line_dedup(odd)
     assert got.columns == [*odd.columns, "__removed"] and got.count() == odd.count()
@@ -130,6 +142,26 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert op10.scan_unseen(old, stale).count() == 1  # other rules: seen by none of ours
 
 
+def test_ledger_is_stored_and_grows_by_what_is_new(spark, tmp_path):
+    path, schema = str(tmp_path / "ledger"), "doc_id int, text string"
+    old, new = spark.createDataFrame([(1, "token=abcdef"), (2, "clean"), (3, "token=abcdef")], schema), spark.createDataFrame([(4, "clean"), (5, "secret: abcdefg")], schema)
+    rows = lambda: sorted((r["rule_version"], r["blob"]) for r in op10.ledger_at(spark, path).collect())
+    op10.new_ledger(spark, path)
+    op10.append(old, path)
+    assert len(rows()) == 2
+    before = set((tmp_path / "ledger").glob("*.parquet"))
+    op10.append(old, path)  # seen: nothing is scanned or stored
+    assert len(rows()) == 2
+    op10.append(old.unionByName(new), path)
+    assert len(rows()) == 3 and before <= set((tmp_path / "ledger").glob("*.parquet"))
+    op10.append(old, path, rules=op10.BASE)  # other rules have seen nothing yet
+    assert len(rows()) == 5 and len(set(rows())) == 5
+    found = op10.findings_by_path(old.unionByName(new), op10.ledger_at(spark, path), ["doc_id"])
+    assert sorted((r["doc_id"], r["n_assign"]) for r in found.collect()) == [(1, 1), (2, 0), (3, 1), (4, 0), (5, 1)]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        op10.new_ledger(spark, path)
+
+
 def test_more_kinds_of_secrets():
     text = "-----BEGIN RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.abcDEF123_- ghp_" + "a" * 36 + " xoxb-1234567890-x https://me:pw@host/x"
     assert {s[2] for s in op10.find_spans(text)} >= {"private_key", "jwt", "git_token", "chat_token", "url_login"}
