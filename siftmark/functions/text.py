@@ -23,7 +23,6 @@ STOP_WORDS = (
 BLANKS = " \t\n\r\f"
 
 
-
 class Analyzer(NamedTuple):
     """Lemmas are the matches of a pattern in the lower-cased text that pass a test."""
 
@@ -117,12 +116,12 @@ def key_phrases(df: DataFrame, key: str, text: str, most: int = 40) -> DataFrame
     return ranked.where(F.col("ord") <= most).select(key, "phrase", "ord")
 
 
-def ngrams(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, gram: distinct runs of `size` lower-cased letter tokens."""
-    cut = df.select(F.col(key), A.runs(F.col(text)).alias("w"))
+def ngrams(df: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
+    """keys, gram: distinct runs of `size` lower-cased letter tokens of each row."""
+    cut = df.select(*keys, A.runs(F.col(text)).alias("w"))
     # slices side by side: no lambda looks the array up
     parts = [F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - size + 1, F.lit(0))) for k in range(size)]
-    return cut.select(key, F.explode(F.array_distinct(F.transform(F.arrays_zip(*(p.alias(f"g{k}") for k, p in enumerate(parts))), lambda x: F.concat_ws(" ", *(x[f"g{k}"] for k in range(size))))) ).alias("gram"))
+    return cut.select(*keys, F.explode(F.array_distinct(F.transform(F.arrays_zip(*(p.alias(f"g{k}") for k, p in enumerate(parts))), lambda x: F.concat_ws(" ", *(x[f"g{k}"] for k in range(size))))) ).alias("gram"))
 
 
 def task_phrases(aliases: DataFrame, hypotheses: DataFrame, signals: DataFrame) -> DataFrame:

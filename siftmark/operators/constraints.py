@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The thresholds of two constraints, and what a predicted task and a met soft constraint add to a score.
 EDGE_PARAMETERS, LONG_CONTEXT = 1_000_000_000, 32_768
+TASK_BONUS, SOFT_BONUS = 0.15, 0.05
 
 #: Constraint, hardness, surface forms.
 LEXICON = (
@@ -49,31 +50,43 @@ def satisfied(name: Column) -> Column:
     )
 
 
-def all_satisfied(names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (satisfied(F.lit(n)) for n in names), F.lit(True))
+def all_satisfied(names: Column) -> Column:
+    """Whether a catalog row meets every constraint of an array of names."""
+    return F.forall(names, satisfied)
+
+
+def asked(requests: DataFrame, named: DataFrame, q: str) -> DataFrame:
+    """q, hard, soft: the constraints that each request names, as arrays; empty for one that names none."""
+    kind = lambda h: F.coalesce(F.array_sort(F.collect_set(F.when(F.col("hardness") == h, F.col("name")))), F.array().cast("array<string>")).alias(h)
+    return requests.select(q).join(named, q, "left").groupBy(q).agg(kind("hard"), kind("soft"))
 
 
 def hybrid_pick(
-    candidates: DataFrame, catalog: DataFrame, dense: DataFrame | Callable[[DataFrame], DataFrame], hard: list[str], soft: list[str], predicted: DataFrame, q: str, key: str, k: int = 5, popular: bool = False,
-    task_bonus: float = 0.15, soft_bonus: float = 0.05, filter_first: bool = False, sparse_k: int = 200,
+    candidates: DataFrame, catalog: DataFrame, dense: DataFrame | Callable[[DataFrame], DataFrame], wants: DataFrame, predicted: DataFrame, q: str, key: str, k: int = 5, popular: bool = False,
+    task_bonus: float = TASK_BONUS, soft_bonus: float = SOFT_BONUS, filter_first: bool = False, sparse_k: int = 200,
 ) -> DataFrame:
     """q, key, task, score, rank: sparse candidates, hard constraints, then dense score and bonuses; at most k rows a query.
 
-    candidates(q, key, rank) is cut to sparse_k *before* the hard constraints, which may starve it, as the semantics ask;
-    filter_first puts the constraints first.  dense(q, key, dense) lacks pairs without a vector: 0; it may be a
-    function that adds the column to the candidates, which then costs nothing for other pairs.  predicted(q, task) adds
-    task_bonus, each met soft constraint soft_bonus.  popular breaks ties by likes before the key."""
+    wants(q, hard, soft), as `asked` gives it: every request is held to its own constraints.  candidates(q, key, rank) is cut to
+    sparse_k *before* the hard constraints, which may starve it, as the semantics ask; filter_first puts the constraints
+    first.  dense(q, key, dense) lacks pairs without a vector: 0; it may be a function that adds the column to the candidates,
+    which then costs nothing for other pairs.  predicted(q, task) adds task_bonus, each met soft constraint soft_bonus.
+    popular breaks ties by likes before the key."""
     from .ranking import top_k
 
     if filter_first:
-        fit = candidates.join(catalog.where(all_satisfied(hard)).select(key), key, "left_semi")
-        cut = top_k(fit.drop("rank"), q, "sparse", sparse_k, key)
+        fit = candidates.drop("rank").join(wants, q).join(catalog, key).where(all_satisfied(F.col("hard")))
+        rows = top_k(fit, q, "sparse", sparse_k, key).drop("sparse", "rank")
     else:
-        cut = candidates.where(F.col("rank") <= sparse_k)
-    rows = cut.select(q, key).join(catalog, key).where(all_satisfied(hard))
+        rows = candidates.where(F.col("rank") <= sparse_k).select(q, key).join(wants, q).join(catalog, key).where(all_satisfied(F.col("hard")))
     rows = dense(rows) if callable(dense) else rows.join(dense, [q, key], "left")
     rows = rows.join(predicted.select(q, "task", F.lit(task_bonus).alias("__bonus")), [q, "task"], "left")
-    bonus = reduce(lambda a, b: a + b, (F.when(satisfied(F.lit(s)), F.lit(soft_bonus)).otherwise(F.lit(0.0)) for s in soft), F.lit(0.0))
+    bonus = F.lit(soft_bonus) * F.size(F.filter("soft", satisfied))
     scored = rows.withColumn("score", F.round(F.coalesce("dense", F.lit(0.0)) + F.coalesce("__bonus", F.lit(0.0)) + bonus, 4))
     scored = scored.withColumn("__likes", -F.coalesce("likes", F.lit(0)) if popular else F.lit(0))
     return top_k(scored, q, "score", k, "__likes", key).select(q, key, "task", "score", "rank")
+
+
+def or_abstained(picked: DataFrame, requests: DataFrame, q: str, key: str) -> DataFrame:
+    """picked, and for each request without an answer one row of nulls; abstained tells them."""
+    return requests.select(q).join(picked, q, "left").withColumn("abstained", F.col(key).isNull())

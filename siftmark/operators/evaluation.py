@@ -43,19 +43,25 @@ def percentile_rows(means: DataFrame, value: str, low: float = 0.025, high: floa
     return ordered.select(F.round(F.get("__v", at(low)), 4).alias("low"), F.round(F.get("__v", at(high)), 4).alias("high"))
 
 
+def poisson_steps(most: int = 9) -> list[float]:
+    """Cumulative probabilities of 0, 1, ... of a Poisson draw of mean 1."""
+    out, p, total = [], 0.36787944117144233, 0.0
+    for k in range(most):
+        total += p
+        out.append(total)
+        p /= k + 1
+    return out
+
+
 def bootstrap(hits: DataFrame, resamples: int = 1000, seed: int = 1234, hit: str = "hit") -> DataFrame:
     """low, high: 95 % interval of the mean of 0/1 outcomes.
 
     Poisson bootstrap: each outcome enters each resample as often as a Poisson(1) draw of its own says, so partial counts of
-    all resamples add up in one pass and nothing is drawn across partitions.  Draws hang on (seed, resample, row key)."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__i", "key"), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    cumulative, p, total = [], 0.36787944117144233, 0.0
-    for k in range(9):
-        total += p
-        cumulative.append(total)
-        p /= k + 1
-    draw = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    each = hits.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", draw)
+    all resamples add up in one pass and nothing is drawn across partitions.  Draws are digests of (seed, resample, row key)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__i").cast("string"), F.col("key").cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+    draw = sum((F.when(F.col("__u") >= c, 1).otherwise(0) for c in poisson_steps()), F.lit(0))
+    each = hits.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__u", u).withColumn("__w", draw)
     means = each.groupBy("__i").agg(F.try_divide(F.sum(F.col("__w") * F.col(hit)), F.sum("__w")).alias("mean"))
     return percentile_rows(means.where("mean IS NOT NULL"), "mean")
 

@@ -14,14 +14,14 @@ from .ranking import micro
 
 def alias_table(texts: DataFrame, key: str, label: str, text: str, least: int, size: int = 2) -> DataFrame:
     """label, phrase, weight: phrases of `size` words in `least` or more texts of a label, weighted by that number."""
-    grams = ngrams(texts, key, text, size).join(texts.select(key, label), key)
+    grams = ngrams(texts, [key, label], text, size)
     return grams.groupBy(label, F.col("gram").alias("phrase")).agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
 def hits(requests: DataFrame, terms: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (2,), phrase: str = "phrase") -> DataFrame:
     """key and the columns of terms for each term that occurs in a request: an equi-join on word n-grams, one for each length
     that the dictionary has, never a test of every pair."""
-    grams = reduce(DataFrame.unionByName, (ngrams(requests, key, text, n) for n in sizes))
+    grams = reduce(DataFrame.unionByName, (ngrams(requests, [key], text, n) for n in sizes))
     return grams.join(terms, F.col("gram") == F.col(phrase)).drop("gram")
 
 
@@ -38,19 +38,19 @@ def span(table: DataFrame, cue: list[str], label: str) -> DataFrame:
 KIND_WEIGHTS = {"pair": 3, "noun": 2, "verb": 1}
 
 
-def cues(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, cue.  Stand-ins that need no parser: a pair is two words side by side, a noun a content word of eight
+def cues(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, kind, cue.  Stand-ins that need no parser: a pair is two words side by side, a noun a content word of eight
     letters or more, a verb one of five to seven."""
-    words = C.rows(texts, [key], text, distinct=True).withColumnRenamed("lemma", "cue")
+    words = C.rows(texts, keys, text, distinct=True).withColumnRenamed("lemma", "cue")
     kind = F.when(F.length("cue") >= 8, "noun").when(F.length("cue") >= 5, "verb")
-    pairs = ngrams(texts, key, text, 2).select(key, F.lit("pair").alias("kind"), F.col("gram").alias("cue"))
-    return words.select(key, kind.alias("kind"), "cue").where("kind IS NOT NULL").unionByName(pairs)
+    pairs = ngrams(texts, keys, text, 2).select(*keys, F.lit("pair").alias("kind"), F.col("gram").alias("cue"))
+    return words.select(*keys, kind.alias("kind"), "cue").where("kind IS NOT NULL").unionByName(pairs)
 
 
 def associations(texts: DataFrame, key: str, label: str, text: str, least: int = 2) -> DataFrame:
     """kind, cue, label, n, share: how often a cue comes with a label, and the label's weighted share of the cue in
     millionths; cues of fewer than `least` texts are left out."""
-    n = cues(texts, key, text).join(texts.select(key, label), key).groupBy("kind", "cue", label).agg(F.count(F.lit(1)).alias("n"))
+    n = cues(texts, [key, label], text).groupBy("kind", "cue", label).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("kind", "cue"))
     weight = F.coalesce(*(F.when(F.col("kind") == k, F.lit(w)) for k, w in KIND_WEIGHTS.items()))
     return n.withColumn("__total", total).where(F.col("__total") >= least).withColumn("share", micro(weight * F.col("n") / F.col("__total"))).drop("__total")
@@ -58,7 +58,7 @@ def associations(texts: DataFrame, key: str, label: str, text: str, least: int =
 
 def structural_hits(requests: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     """key, kind, cue, label, n, share: one join for all kinds of cues."""
-    return cues(requests, key, text).join(table, ["kind", "cue"])
+    return cues(requests, [key], text).join(table, ["kind", "cue"])
 
 
 def micro_scores(predicted: DataFrame, gold: DataFrame, key: str, label: str) -> DataFrame:

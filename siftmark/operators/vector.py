@@ -1,27 +1,84 @@
 """Nearest neighbours, votes, centroids and phrase similarity over vector columns.
 
-The query side of a search is a stated set: if it is small, which is counted, it goes to each task whole and the corpus is read
-where it lies; else partitions of both sides are paired."""
+Both sides of a search are dealt into blocks of bounded size, and each pair of blocks is one product of matrices.  A block
+gives the k best of each of its queries, so nothing like all pairs is ever exchanged; results are exact."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.vectors import cosine, mean_vector, norm
+from siftmark.functions.vectors import mean_vector, norm
+
+from .ranking import MICRO, top_k
+
+#: Rows of a block of queries and of the corpus: a task holds one of each, and their product a part at a time.
+QUERY_BLOCK, CORPUS_BLOCK, PART = 8_192, 50_000, 256
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; a vector without length stays as it is, so that all its cosines are 0."""
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _by_blocks(queries: DataFrame, corpus: DataFrame, q: str, key: str, of_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """of_block(queries, corpus) of every pair of blocks.  Two counts say how many blocks there are."""
+    many = lambda df, size: max(1, -(-df.count() // size))
+    n, m = many(queries, QUERY_BLOCK), many(corpus, CORPUS_BLOCK)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = queries.withColumn("__a", F.pmod(F.xxhash64(q), F.lit(n)).cast("int")).withColumn("__b", every(m))
+    right = corpus.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(m)).cast("int")).withColumn("__a", every(n))
+
+    def of_group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c.split("`")[1]: [] for c in schema.split(", ")})
+        return of_block(a, b)
 
-from .ranking import micro, small, top_k
+    return left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(of_group, schema)
 
 
-def similarities(queries: DataFrame, corpus: DataFrame, q: str, key: str, vector: str = "vector") -> DataFrame:
-    """q, key, sim (millionths of the cosine) and the other columns of corpus."""
-    asked = small(queries.select(q, F.col(vector).alias("__q")))
-    return corpus.crossJoin(asked).select(q, *(c for c in corpus.columns if c != vector), micro(cosine(F.col("__q"), F.col(vector))).alias("sim"))
+def _typed(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, k: int, vector: str = "vector") -> DataFrame:
+def similarities(queries: DataFrame, corpus: DataFrame, q: str, key: str, vector: str = "vector", k: int | None = None, match: tuple[str, str] | None = None, apart: bool = False) -> DataFrame:
+    """q, key, sim (millionths of the cosine) and the other columns of corpus: of each query the k best of every block and what
+    ties with them, or all rows if k is None (for a corpus as small as a taxonomy).
+
+    match: a column of queries and one of corpus that must be equal, where the first isn't null.  apart: a row whose key is the
+    query's own isn't an answer.  Rows without a vector take no part."""
+    asked = queries.where(F.col(vector).isNotNull()).select(q, F.col(vector).alias("__q"), *((F.col(match[0]).alias("__m"),) if match else ()))
+    rows, others = corpus.where(F.col(vector).isNotNull()), [c for c in corpus.columns if c not in (vector, key)]
+
+    def of_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, keys, out = _units(a["__q"]), _units(b[vector]), b[key].to_numpy(), []
+        labels = b[match[1]].to_numpy() if match else None
+        for at in range(0, len(a), PART):
+            sims = np.rint(x[at : at + PART] @ y.T * MICRO).astype(np.int64)
+            for i, s in enumerate(sims, at):
+                fits = np.ones(len(s), bool)
+                if match and not pd.isna(a["__m"].iloc[i]):
+                    fits &= labels == a["__m"].iloc[i]
+                if apart:
+                    fits &= keys != a[q].iloc[i]
+                hit = np.flatnonzero(fits)
+                if k is not None and len(hit) > k:
+                    hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k]]
+                out.append(b.iloc[hit][[key, *others]].assign(**{q: a[q].iloc[i], "sim": s[hit]}))
+        return pd.concat(out)[[q, key, *others, "sim"]]
+
+    return _by_blocks(asked, rows, q, key, of_block, f"{_typed(queries, [q])}, {_typed(corpus, [key, *others])}, `sim` bigint")
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, q: str, key: str, k: int, vector: str = "vector", match: tuple[str, str] | None = None, apart: bool = False) -> DataFrame:
     """The k nearest rows of each query, ties by key: unlike a partial sort, the same ones every time."""
-    return top_k(similarities(queries, corpus, q, key, vector), q, "sim", k, key)
+    return top_k(similarities(queries, corpus, q, key, vector, k, match, apart), q, "sim", k, key)
 
 
 def vote(neighbours: DataFrame, q: str, label: str) -> DataFrame:
@@ -37,7 +94,20 @@ def max_mean(queries: DataFrame, candidates: DataFrame, q: str, c: str, vector:
     """q, c, score: the mean over a query's phrases (one row each) of the greatest cosine with a candidate's phrases.
     A phrase without length takes no part; a side without phrases has no row."""
     # equal phrases of a query have equal greatest cosines: their number is kept as a weight
-    left = small(queries.where(norm(F.col(vector)) > 0).groupBy(q, F.col(vector).alias("__q")).agg(F.count(F.lit(1)).alias("__w")).withColumn("__p", F.xxhash64("__q")))
+    left = queries.where(norm(F.col(vector)) > 0).groupBy(q, F.col(vector).alias("__q")).agg(F.count(F.lit(1)).alias("__w")).withColumn("__p", F.xxhash64("__q"))
     right = candidates.where(norm(F.col(vector)) > 0).select(c, vector)
-    most = right.crossJoin(left).groupBy(q, "__p", "__w", c).agg(F.max(micro(cosine(F.col("__q"), F.col(vector)))).alias("__m"))
+
+    def of_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(c)
+        x, y, keys, out = _units(a["__q"]), _units(b[vector]), b[c].to_numpy(), []
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for at in range(0, len(a), PART):
+            most = np.maximum.reduceat(np.rint(x[at : at + PART] @ y.T * MICRO).astype(np.int64), starts, axis=1)
+            part = a.iloc[at : at + PART]
+            rows = {n: np.repeat(part[n].to_numpy(), len(starts)) for n in (q, "__p", "__w")}
+            out.append(pd.DataFrame({**rows, c: np.tile(keys[starts], len(part)), "__m": most.ravel()}))
+        return pd.concat(out)
+
+    blocks = _by_blocks(left, right, "__p", c, of_block, f"{_typed(queries, [q])}, `__p` bigint, `__w` bigint, {_typed(candidates, [c])}, `__m` bigint")
+    most = blocks.groupBy(q, "__p", "__w", c).agg(F.max("__m").alias("__m"))
     return most.groupBy(q, c).agg(F.round(F.sum(F.col("__m") * F.col("__w")) / F.sum("__w") / 1e6, 4).alias("score"))

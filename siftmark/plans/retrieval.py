@@ -192,40 +192,40 @@ def two_stage_vs_direct(x: Data) -> DataFrame:
 
 @query(sql("SELECT q, vec_id, round(sim / 1e6, 6) AS sim, rank FROM near WHERE rank <= 10", "near"))
 def knn_topk(x: Data) -> DataFrame:
-    return vc.nearest(x.vector_queries, x.vector_corpus, "q", "vec_id", 10).select("q", "vec_id", F.round(F.col("sim") / 1e6, 6).alias("sim"), "rank")
+    return vc.nearest(x.vector_queries, x.vectors, "q", "vec_id", 10, apart=True).select("q", "vec_id", F.round(F.col("sim") / 1e6, 6).alias("sim"), "rank")
 
 
 @query(sql("SELECT q, label, round(score / 1e6, 4) AS score FROM (SELECT q, label, CAST(sum(sim) AS BIGINT) AS score FROM near WHERE rank <= 50 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, label) = 1", "near"))
 def knn_vote(x: Data) -> DataFrame:
-    votes = vc.vote(vc.nearest(x.vector_queries, x.vector_corpus, "q", "vec_id", 50), "q", "label")
+    votes = vc.vote(vc.nearest(x.vector_queries, x.vectors, "q", "vec_id", 50, apart=True), "q", "label")
     return rk.best(votes, "q", "label").select("q", "label", F.round(F.col("score") / 1e6, 4).alias("score"))
 
 
-PARTS["cents"] = ("e", "SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE vec_id >= 50) GROUP BY ALL) GROUP BY label")
+PARTS["cents"] = ("e", "SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY ALL) GROUP BY label")
 
 
-@query(sql("SELECT q, label, score FROM (SELECT vec_id AS q, cents.label, round(list_cosine_similarity(e.v, cents.v), 4) AS score FROM e, cents WHERE vec_id < 50) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, label) = 1", "e cents"))
+@query(sql("SELECT q, label, score FROM (SELECT vec_id AS q, cents.label, round(list_cosine_similarity(e.v, cents.v), 4) AS score FROM e, cents WHERE vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, label) = 1", "e cents"))
 def centroid_rank(x: Data) -> DataFrame:
-    found = vc.similarities(x.vector_queries, vc.centroids(x.vector_corpus, "label"), "q", "label")
+    found = vc.similarities(x.vector_queries, vc.centroids(x.vectors, "label"), "q", "label")
     return rk.best(found.select("q", "label", F.round(F.col("sim") / 1e6, 4).alias("score")), "q", "label")
 
 
-@query(sql("SELECT count(*) AS n, CAST(count_if(q = vec_id) AS BIGINT) AS hits FROM (SELECT a.vec_id AS q, b.vec_id FROM e a, e b WHERE a.vec_id < 50 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v) * 1e6) DESC, b.vec_id) = 1)", "e"))
+@query(sql("SELECT count(*) AS n, CAST(count_if(q = vec_id) AS BIGINT) AS hits FROM (SELECT a.vec_id AS q, b.vec_id FROM e a, e b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v) * 1e6) DESC, b.vec_id) = 1)", "e"))
 def self_retrieval(x: Data) -> DataFrame:
     """Does a row find itself first?"""
     return vc.nearest(x.vector_queries, x.vectors, "q", "vec_id", 1).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q") == F.col("vec_id")).alias("hits"))
 
 
 @query(sql("""SELECT q, c, round(sum(m) / count(*) / 1e6, 4) AS score FROM (SELECT a.vec_id, a.vec_id // 10 AS q, b.vec_id // 10 AS c, max(CAST(round(list_cosine_similarity(a.v, b.v) * 1e6) AS BIGINT)) AS m
-  FROM e a, e b WHERE a.vec_id < 50 AND b.vec_id >= 50 GROUP BY ALL) GROUP BY q, c""", "e"))
+  FROM e a, e b WHERE a.vec_id // 10 % 5 = 0 AND a.vec_id // 10 <> b.vec_id // 10 GROUP BY ALL) GROUP BY q, c""", "e"))
 def max_mean_similarity(x: Data) -> DataFrame:
-    """Vectors in tens as the phrases of a request or of a row."""
-    q = x.vector_queries.select(F.floor(F.col("q") / 10).alias("q"), "vector")
-    return vc.max_mean(q, x.vector_corpus.select(F.floor(F.col("vec_id") / 10).alias("c"), "vector"), "q", "c")
+    """Vectors in tens as the phrases of a request or of a row; the tens that hold an id divisible by 50 ask all others."""
+    tens = x.vectors.select(F.floor(F.col("vec_id") / 10).alias("c"), "vector")
+    return vc.max_mean(tens.where("c % 5 = 0").withColumnRenamed("c", "q"), tens, "q", "c").where("q <> c")
 
 
 PARTS["db_votes"] = ("e d", """SELECT doc_id, task, CAST(sum(sim) AS BIGINT) AS score FROM (SELECT a.vec_id AS doc_id, d.task, CAST(round(list_cosine_similarity(a.v, b.v) * 1e6) AS BIGINT) AS sim
-  FROM e a JOIN e b ON a.vec_id % 7 = 0 AND a.vec_id < 350 AND b.vec_id % 7 <> 0 JOIN d ON d.doc_id = b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 50) GROUP BY ALL""")
+  FROM e a JOIN e b ON a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0 JOIN d ON d.doc_id = b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 50) GROUP BY ALL""")
 PARTS["db_all"] = ("db_votes lexical bonus", """SELECT l.doc_id, l.task, coalesce(v.score, 0) AS score, 'knn' AS signal FROM lexical l JOIN (SELECT DISTINCT doc_id FROM db_votes) USING (doc_id) LEFT JOIN db_votes v ON v.doc_id = l.doc_id AND v.task = l.task
   UNION ALL SELECT doc_id, task, score, 'lexical' FROM lexical JOIN (SELECT DISTINCT doc_id FROM db_votes) USING (doc_id)
   UNION ALL SELECT doc_id, task, score, 'affinity' FROM bonus JOIN (SELECT DISTINCT doc_id FROM db_votes) USING (doc_id)""")
@@ -235,8 +235,8 @@ PARTS["db_all"] = ("db_votes lexical bonus", """SELECT l.doc_id, l.task, coalesc
   FROM (SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS norm FROM db_all WINDOW w AS (PARTITION BY doc_id, signal)) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, task) = 1""", "db_all"))
 def db_three_signal_fusion(x: Data) -> DataFrame:
     """Votes of the 50 nearest rows, lexical overlap and half the bucket's affinity, each normalised by its greatest.
-    Vectors stand for the documents of the same number; the requests are the 50 first that have one."""
-    queries = x.vectors.where("vec_id % 7 = 0 AND vec_id < 350").select(F.col("vec_id").alias("doc_id"), "vector").join(x.prompts.select("doc_id"), "doc_id", "left_semi")
+    Vectors stand for the documents of the same number; every request that has one is answered."""
+    queries = x.vectors.where("vec_id % 7 = 0").select(F.col("vec_id").alias("doc_id"), "vector").join(x.prompts.select("doc_id"), "doc_id", "left_semi")
     corpus = x.vectors.where("vec_id % 7 <> 0").join(x.docs.select(F.col("doc_id").alias("vec_id"), "task"), "vec_id").select("vec_id", "task", "vector")
     votes = vc.vote(vc.nearest(queries, corpus, "doc_id", "vec_id", 50), "doc_id", "task")
     asked = votes.select("doc_id").distinct()
@@ -278,18 +278,21 @@ def constraint_filter(x: Data) -> DataFrame:
 
 
 def picks(x: Data, **options) -> DataFrame:
-    """Hybrid retrieval of benchmark items; an item's vector is the embedding of the same number, so is a document's."""
+    """Hybrid retrieval of benchmark items, each under the constraints that it names; an item's vector is the embedding of the
+    same number, so is a document's."""
     found = sparse(x, None if options.get("filter_first") else 200).withColumnRenamed("score", "sparse")
+    requests = x.table("benchmark")
     vectors = x.vectors.select("vec_id", "vector")
-    items = vectors.join(x.table("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("vector").alias("__q"))
+    items = vectors.join(requests.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("vector").alias("__q"))
 
     def dense(rows: DataFrame) -> DataFrame:
         both = rows.join(items, "item_id", "left").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
         return both.withColumn("dense", F.round(rk.micro(cosine_of(F.col("__q"), F.col("vector"))) / 1e6, 4)).drop("__q", "vector")
 
     stats = rk.label_statistics(C.rows(x.docs, ["doc_id", "task"], "text", distinct=True), "task", x.docs.select("task").distinct())
-    predicted = rk.top_k(rk.label_scores(C.rows(x.table("benchmark"), ["item_id"], "text"), stats, "item_id", "task"), "item_id", "score", 2, "task")
-    return cs.hybrid_pick(found, catalog_rows(x), dense, ["open_source"], ["edge", "fast"], predicted, "item_id", "doc_id", **options)
+    predicted = rk.top_k(rk.label_scores(C.rows(requests, ["item_id"], "text"), stats, "item_id", "task"), "item_id", "score", 2, "task")
+    named = cs.detect(requests.select("item_id", "text", F.array_join(C.runs(F.col("text")), " ").alias("l")), cs.lexicon(x.spark, WORDS), "item_id", "text", "l")
+    return cs.hybrid_pick(found, catalog_rows(x), dense, cs.asked(requests.select("item_id"), named, "item_id"), predicted, "item_id", "doc_id", **options)
 
 
 PARTS["dl"] = ("d lem", "SELECT lem.*, task FROM lem JOIN d USING (doc_id)")
@@ -297,25 +300,36 @@ PARTS["item_tasks"] = ("bl dl d", """SELECT item_id, task FROM (SELECT item_id,
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, task) <= 2""")
 
 
+PARTS["asked"] = ("", """SELECT item_id, coalesce(list(name) FILTER (hardness = 'hard'), []) AS hard, coalesce(list(name) FILTER (hardness = 'soft'), []) AS soft FROM benchmark LEFT JOIN (
+  SELECT DISTINCT item_id, name, hardness FROM (SELECT item_id, lower(text) AS t, array_to_string(regexp_extract_all(lower(text), '\\p{L}+'), ' ') AS l FROM benchmark), (VALUES """ + ", ".join(
+    f"('{n}', '{h}', '{s}')" for n, h, ss in WORDS for s in ss
+) + """) AS w(name, hardness, surface) WHERE contains(' ' || CASE WHEN contains(surface, ' ') THEN t ELSE l END || ' ', ' ' || surface || ' ')) USING (item_id) GROUP BY item_id""")
+#: The hard constraints of item a hold for a row; how many of its soft ones do.
+_HARD = " AND ".join(f"(NOT list_contains(asked.hard, '{n}') OR {ok})" for n, ok in _OK.items())
+_SOFT = " + ".join(f"(list_contains(asked.soft, '{n}') AND {ok})::INT" for n, ok in _OK.items())
+
+
 def _pick_sql(cut: str, order: str, k: int = 5) -> str:
     return f"""SELECT item_id, doc_id, task, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {order}doc_id) AS rank FROM (
   SELECT s.item_id, s.doc_id, rows.task, likes, round(coalesce(round(CAST(round(list_cosine_similarity(a.v, b.v) * 1e6) AS BIGINT) / 1e6, 4), 0) + CASE WHEN i.task IS NULL THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END
-    + (CASE WHEN {_OK['edge']} THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_OK['fast']} THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END), 4) AS score
-  FROM ({cut}) s JOIN rows ON rows.doc_id = s.doc_id LEFT JOIN e a ON a.vec_id = s.item_id AND a.vec_id < 200 LEFT JOIN e b ON b.vec_id = s.doc_id LEFT JOIN item_tasks i ON i.item_id = s.item_id AND i.task = rows.task WHERE {_OK['open_source']})) WHERE rank <= {k}"""
+    + 0.05::DOUBLE * ({_SOFT}), 4) AS score
+  FROM ({cut}) s JOIN rows ON rows.doc_id = s.doc_id JOIN asked ON asked.item_id = s.item_id LEFT JOIN e a ON a.vec_id = s.item_id LEFT JOIN e b ON b.vec_id = s.doc_id
+  LEFT JOIN item_tasks i ON i.item_id = s.item_id AND i.task = rows.task WHERE {_HARD})) WHERE rank <= {k}"""
 
 
 _CUT = "SELECT item_id, doc_id FROM sparse_ranked WHERE rank <= 200"
-_NEEDS = "sparse_ranked rows e item_tasks"
+_NEEDS = "sparse_ranked rows e item_tasks asked"
 
 
-@query(sql(_pick_sql(_CUT, ""), _NEEDS))
+@query(sql(f"SELECT b.item_id, doc_id, task, score, rank, doc_id IS NULL AS abstained FROM benchmark b LEFT JOIN ({_pick_sql(_CUT, '')}) p ON p.item_id = b.item_id", _NEEDS))
 def hybrid_pick(x: Data) -> DataFrame:
-    return picks(x)
+    """The five best rows of each item; an item for which nothing is left has one row that says so."""
+    return cs.or_abstained(picks(x), x.table("benchmark").select("item_id"), "item_id", "doc_id")
 
 
-@query(sql(_pick_sql(f"SELECT item_id, doc_id FROM sparse JOIN rows USING (doc_id) WHERE {_OK['open_source']} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 200", ""), _NEEDS))
+@query(sql(_pick_sql(f"SELECT item_id, doc_id FROM sparse JOIN rows USING (doc_id) JOIN asked USING (item_id) WHERE {_HARD} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) <= 200", ""), _NEEDS))
 def prefilter_mode(x: Data) -> DataFrame:
-    """The same with the hard constraint before the sparse cut."""
+    """The same with the hard constraints before the sparse cut."""
     return picks(x, filter_first=True)
 
 
@@ -354,17 +368,18 @@ def phrase_chunks(x: Data) -> DataFrame:
 
 
 @query(sql("""SELECT q, n.vec_id AS doc_id, n.rank, CASE WHEN d.doc_id % 3 > 0 THEN 'https://catalog/' || d.doc_id END AS url, substr(trim(d.text, ' ' || chr(9) || chr(10) || chr(13) || chr(12)), 1, 160) AS description FROM (
-  SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM (SELECT *, count_if(label = q_label AND q % 2 = 0) OVER (PARTITION BY q) AS m FROM sims) WHERE m = 0 OR label = q_label) n JOIN d ON d.doc_id = n.vec_id WHERE n.rank <= 3""", "sims d"))
+  SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM (SELECT *, count_if(label = q_label AND q // 50 % 2 = 0) OVER (PARTITION BY q) AS m FROM sims) WHERE m = 0 OR label = q_label) n JOIN d ON d.doc_id = n.vec_id WHERE n.rank <= 3""", "sims d"))
 def task_filter_fallback(x: Data) -> DataFrame:
-    """The three nearest rows of the wanted label, or of all where none has it (odd queries want one that isn't there);
-    then one join for their link, which rows of the third kind don't have, and a short description."""
-    found = vc.similarities(x.vector_queries.withColumn("want", F.when(F.col("q") % 2 == 0, F.col("q_label")).otherwise(-1)), x.vector_corpus, "q", "vec_id").join(
-        rk.small(x.vector_queries.select("q", F.when(F.col("q") % 2 == 0, F.col("q_label")).otherwise(-1).alias("want"))), "q"
-    )
-    fits = F.col("label") == F.col("want")
-    any_fits = found.groupBy("q").agg(F.count_if(fits).alias("m"))
-    top = rk.top_k(found.join(rk.small(any_fits), "q").where((F.col("m") == 0) | fits), "q", "sim", 3, "vec_id")
-    rows = x.docs.select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://catalog/"), F.col("doc_id").cast("string"))).alias("url"), F.substring(strip(F.col("text")), 1, 160).alias("description"))
+    """The three nearest rows of the wanted label, or of all where no other row has it (every second query wants one that isn't
+    there); then one join for their link, which rows of the third kind don't have, and a short description."""
+    sizes = x.vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # a taxonomy
+    asked = x.vector_queries.join(sizes, F.col("q_label") == F.col("label"))
+    wanted = asked.select("q", "vector", F.when((F.floor(F.col("q") / 50) % 2 == 0) & (F.col("n") > 1), F.col("q_label")).alias("want"))
+    top = vc.nearest(wanted, x.vectors, "q", "vec_id", 3, match=("want", "label"), apart=True)
+    rows = x.docs.select(
+        F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://catalog/"), F.col("doc_id").cast("string"))).alias("url"),
+        F.substring(strip(F.col("text")), 1, 160).alias("description"),
+    )
     return top.join(rows, "vec_id").select("q", F.col("vec_id").alias("doc_id"), "rank", "url", "description")
 
 
@@ -398,6 +413,7 @@ def weak_text_repair(x: Data) -> DataFrame:
     return out.select("doc_id", F.when(F.col("t") == F.col("summary"), "summary").otherwise("card").alias("source"), F.length("t").alias("n"))
 
 
+#: The labels of the taxonomy.
 LABELS = (
     "any-to-any audio-classification audio-text-to-text audio-to-audio automatic-speech-recognition depth-estimation document-question-answering feature-extraction fill-mask graph-ml "
     "image-classification image-feature-extraction image-segmentation image-text-to-image image-text-to-text image-text-to-video image-to-3d image-to-image image-to-text image-to-video "

@@ -116,6 +116,8 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a table that can't be read isn't one that isn't there
+            raise
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)

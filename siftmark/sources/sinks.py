@@ -18,17 +18,11 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def merge_section(path: str, section: str, rows: DataFrame) -> None:
-    """Put rows (key, value) in place of one section of the JSON table at path, and leave the others."""
-    spark = rows.sparkSession
+    """Put rows (key, value) in place of one section of the JSON table at path, and leave the others.  Each section is a folder of
+    its own, which alone is replaced: no other section is read or written, and nothing is collected.  Rows of none
+    leave the section as it was."""
     new = rows.select(F.lit(section).alias("section"), F.col("key").cast("string"), F.col("value").cast("string"))
-    try:
-        old = spark.read.schema(new.schema).json(path).where(F.col("section") != section)
-        kept = [tuple(r) for r in old.collect()]  # metrics, not data: a report has some dozens
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        kept = []
-    new.unionByName(spark.createDataFrame(kept, new.schema)).write.mode("overwrite").json(path)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("section").json(path)
 
 
 def sections(**tables: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def test_key_phrases(spark):
 
 def test_ngrams_of_short_texts(spark):
     df = spark.createDataFrame([(1, "one two three two three"), (2, "one"), (3, None)], "k int, t string")
-    assert sorted(r["gram"] for r in tx.ngrams(df, "k", "t", 2).collect()) == ["one two", "three two", "two three"]
+    assert sorted(r["gram"] for r in tx.ngrams(df, ["k"], "t", 2).collect()) == ["one two", "three two", "two three"]
 
 
 FAMILIES = {
@@ -139,13 +140,53 @@ def test_hybrid_pick_filters_after_the_cut_and_may_starve(spark):
     cand = spark.createDataFrame([(0, i, 10 - i, i + 1) for i in range(4)], "q int, id int, sparse bigint, rank int")
     none = spark.createDataFrame([], "q int, id int, dense double")
     guess = spark.createDataFrame([(0, "t")], "q int, task string")
-    pick = lambda **o: [(r["id"], r["score"]) for r in cs.hybrid_pick(cand, rows, none, ["open_source"], ["fast"], guess, "q", "id", **o).orderBy("rank").collect()]
+    wants = spark.createDataFrame([(0, ["open_source"], ["fast"])], "q int, hard array<string>, soft array<string>")
+    pick = lambda **o: [(r["id"], r["score"]) for r in cs.hybrid_pick(cand, rows, none, wants, guess, "q", "id", **o).orderBy("rank").collect()]
     assert pick() == [(2, 0.2), (3, 0.2)]
     assert pick(popular=True) == [(3, 0.2), (2, 0.2)]
     assert pick(sparse_k=2) == []
     assert pick(sparse_k=2, filter_first=True) == [(2, 0.2), (3, 0.2)]
 
 
+def test_every_request_is_held_to_its_own_constraints(spark):
+    rows = spark.createDataFrame([(i, i > 1, i % 2 == 1, 1, 1, [], "t", i) for i in range(4)], ROWS)
+    cand = spark.createDataFrame([(q, i, 10 - i, i + 1) for q in range(4) for i in range(4)], "q int, id int, sparse bigint, rank int")
+    requests = spark.createDataFrame([(q,) for q in range(5)], "q int")
+    named = spark.createDataFrame([(0, "open_source", "hard"), (1, "fast", "soft"), (2, "open_source", "hard"), (2, "edge", "hard"), (3, "long_context", "hard")], "q int, name string, hardness string")
+    none, guess = spark.createDataFrame([], "q int, id int, dense double"), spark.createDataFrame([], "q int, task string")
+    wants = cs.asked(requests, named, "q")
+    assert {r["q"]: (r["hard"], r["soft"]) for r in wants.collect()} == {0: (["open_source"], []), 1: ([], ["fast"]), 2: (["edge", "open_source"], []), 3: (["long_context"], []), 4: ([], [])}
+    got = cs.or_abstained(cs.hybrid_pick(cand, rows, none, wants, guess, "q", "id", k=2), requests, "q", "id").orderBy("q", "rank").collect()
+    assert [(r["q"], r["id"], r["abstained"]) for r in got] == [(0, 2, False), (0, 3, False), (1, 1, False), (1, 3, False), (2, 3, False), (3, None, True), (4, None, True)]
+
+
+def test_blocks_of_any_size_give_the_same_neighbours(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(3)], i % 3) for i in range(120)], "vec_id bigint, vector array<float>, label int")
+    q = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "vector", F.when(F.col("vec_id") % 20 == 0, F.col("label")).alias("want"))
+    find = lambda **o: sorted((x["q"], x["vec_id"], x["label"], x["sim"], x["rank"]) for x in vc.nearest(q, rows, "q", "vec_id", 4, **o).collect())
+    options = ({}, {"apart": True}, {"match": ("want", "label"), "apart": True})
+    whole, phrases = [find(**o) for o in options], lambda: sorted(map(tuple, vc.max_mean(q.select("q", "vector"), rows.select((F.col("vec_id") % 7).alias("c"), "vector"), "q", "c").collect()))
+    means = phrases()
+    assert all(a != b for a, b, *_ in whole[1]) and len(whole[0]) == 48
+    for one, two in ((5, 17), (1, 40)):
+        monkeypatch.setattr(vc, "QUERY_BLOCK", one)
+        monkeypatch.setattr(vc, "CORPUS_BLOCK", two)
+        assert [find(**o) for o in options] == whole and phrases() == means
+    assert find() == sorted(
+        (a["q"], b["vec_id"], b["label"], b["sim"], n + 1)
+        for a in q.collect()
+        for n, b in enumerate(sorted(({"vec_id": b["vec_id"], "label": b["label"], "sim": cos(a["vector"], b["vector"])} for b in rows.collect()), key=lambda b: (-b["sim"], b["vec_id"]))[:4])
+    )
+
+
+def cos(a, b):
+    n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    return round(sum(x * y for x, y in zip(a, b, strict=True)) / n * 1e6) if n else 0
+
+
 def test_metric_predicates(spark):
     gold = F.array(F.lit("a"), F.lit("b"))
     assert one(spark, ev.in_list_at(F.array(F.lit("b")), gold, 0)) is False
@@ -285,12 +326,7 @@ def test_cue_echo(spark):
     assert tuple(r) == (3, 2, 1, 1, 0.5)
 
 
-def test_a_large_query_side_is_not_broadcast_and_gives_the_same(spark, monkeypatch):
+def test_a_large_side_is_not_broadcast(spark):
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "q int, vector array<float>")
-    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "vec_id int, vector array<float>")
-    find = lambda: sorted(map(tuple, vc.nearest(q, rows, "q", "vec_id", 2).collect()))
-    near = find()
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(rk.small(q, 5)) and not hinted(rk.small(q, 4))
-    monkeypatch.setattr(vc, "small", lambda df: rk.small(df, 1))
-    assert find() == near
