@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, frugal, shared_dir
+from .common import column, documents, frugal, likely, shared_dir
 
 #: kind, pattern, group that is measured, its least length, flags, substrings of which lower-cased text must hold one.
 BASE = (
@@ -73,11 +73,16 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str
     """Findings of contents whose pair (blob, rule version) the ledger doesn't hold.
 
     Copies meet in their own task before the exchange (first of a group), so a content that fills a third of the rows
-    crosses it once for each task.  Null text is the empty blob; an empty table gives no rows."""
-    texts = docs.select(_blob(text_col).alias("blob"), F.coalesce(column(text_col), F.lit("")).alias("t")).groupBy("blob").agg(F.first("t").alias("t"))
-    if ledger is not None:
-        texts = texts.join(ledger.where(F.col("rule_version") == version_of(rules)).select("blob"), "blob", "left_anti")
-    return texts.mapInPandas(frugal(_scan(rules)), FINDINGS)
+    crosses it once for each task.  What the ledger holds doesn't cross it at all, but for the few texts that a filter of fixed
+    size can't tell from unseen ones.  Null text is the empty blob; an empty table gives no rows."""
+    texts = docs.select(_blob(text_col).alias("blob"), F.coalesce(column(text_col), F.lit("")).alias("t"))
+    seen = None if ledger is None else ledger.where(F.col("rule_version") == version_of(rules)).select("blob")
+    if seen is None or seen.isEmpty():
+        return texts.groupBy("blob").agg(F.first("t").alias("t")).mapInPandas(frugal(_scan(rules)), FINDINGS)
+    node = F.xxhash64("blob").alias("node")
+    unseen = texts.select("blob").distinct().join(seen, "blob", "left_anti").select(node)
+    once = likely(texts.select("*", node), unseen).groupBy("blob").agg(F.first("t").alias("t"))
+    return once.join(seen, "blob", "left_anti").mapInPandas(frugal(_scan(rules)), FINDINGS)
 
 
 def ledger_at(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, documents, frugal, materialise, mix64, unpacked_row, whole_row
+from .common import WordHashes, column, documents, frugal, likely, materialise, mix64, unpacked_row, whole_row
 from .components import components, in_blocks, whole_groups
 
 SHINGLE = 5
@@ -192,15 +192,6 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose node may be among `nodes`: a filter of 2 ** 23 bits, broadcast as at most 2 ** 17 rows of 64 bits.
-    Its size is fixed; where it fills up it only lets more rows through to the join that follows."""
-    word, bit = F.pmod("node", F.lit(1 << 17)), F.expr("CAST(shiftrightunsigned(node, 17) & 63 AS INT)")
-    bits = nodes.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    met = rows.join(F.broadcast(bits), word == F.col("__word")).where(F.expr("shiftright(__bits, CAST(shiftrightunsigned(node, 17) & 63 AS INT)) & 1 = 1"))
-    return met.drop("__word", "__bits")
-
-
 def _node(id_col: str, text_col: str) -> Column:
     """Rows of equal id and text are one node."""
     return F.xxhash64(column(id_col).cast("long"), F.xxhash64(F.coalesce(column(text_col), F.lit(""))))
@@ -223,7 +214,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple
     weighed = near.join(reps.select("node", "n_shingles"), "node")
     sized = near.join(weighed.groupBy("root").agg(F.sum("n_shingles").alias("size")), "root")
     # A text that stands in many rows is fetched once: rows of a node meet in their own tasks before the exchange.
-    once = _likely(read.select("node", "t"), near).groupBy("node").agg(F.first("t").alias("t"))
+    once = likely(read.select("node", "t"), near).groupBy("node").agg(F.first("t").alias("t"))
     texts = in_blocks(once.join(sized, "node"), "root", "node", "size", TEXT_BLOCK)
     links = components(_dealt(texts, ["root", "lo", "hi"]).mapInPandas(frugal(lambda b: _joined(_confirmed(percent)(b))), "a long, b long"))
     # Classes are settled among distinct sets; rows meet them once, by set.
