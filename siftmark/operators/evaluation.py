@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .ranking import small
 
-DOMINATION, RARE_DF, FAIL_RATE = 0.5, 4, 0.60
+DOMINATION, RARE_DF, FAIL_RATE, ECHO_THRESHOLD = 0.5, 4, 0.60, 0.20
 
 
 def rate(hits: Column, n: Column, digits: int = 4) -> Column:
@@ -66,6 +66,31 @@ def bootstrap(hits: DataFrame, resamples: int = 1000, seed: int = 1234, hit: str
     return percentile_rows(means.where("mean IS NOT NULL"), "mean")
 
 
+def bootstrap_n(hits: DataFrame, resamples: int = 1000, seed: int = 1234, hit: str = "hit") -> DataFrame:
+    """low, high: 95 % interval of the mean of 0/1 outcomes over resamples of n of the n outcomes.
+
+    A draw with replacement is right with the odds hits / n, so a resample needs the two counts and n draws, not the rows.
+    Draws are digests of (seed, resample, number of the draw), made where they are used."""
+    size = hits.agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(hit), F.lit(0)).alias("__hits"))  # one row
+    each = hits.sparkSession.range(resamples).withColumnRenamed("id", "__i").crossJoin(F.broadcast(size.where("__n > 0")))
+    each = each.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__i").cast("string"), F.col("__j").cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+    return percentile_rows(each.groupBy("__i").agg(F.avg((u * F.col("__n") < F.col("__hits")).cast("int")).alias("mean")), "mean")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """0 where both are empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def by_origin(found: DataFrame, labels: DataFrame, cue: str, label: str) -> DataFrame:
+    """origin, n: cues that hold a label as a word come from the labels' surfaces, others from elsewhere.  An equi-join on words."""
+    words = found.select(cue).distinct().select(cue, F.explode(F.split(cue, " ")).alias(label))
+    named = words.join(labels.select(label).distinct(), label, "left_semi").select(cue).distinct().withColumn("__l", F.lit("label"))
+    return found.join(named, cue, "left").groupBy(F.coalesce("__l", F.lit("other")).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def dominating(contributions: DataFrame, q: str, cue: str, value: str) -> DataFrame:
     """q, cue, value, total, n: of what makes up a score, the greatest part (ties: the last cue), the sum and the number."""
     return contributions.groupBy(q).agg(

@@ -72,3 +72,10 @@ def micro_scores(predicted: DataFrame, gold: DataFrame, key: str, label: str) ->
     return n.withColumns({
         "precision": ratio(F.col("tp"), F.col("n_predicted")), "recall": ratio(F.col("tp"), F.col("n_gold")), "f1": ratio(2 * F.col("tp"), F.col("n_predicted") + F.col("n_gold")),
     })
+
+
+def any_correct(predicted: DataFrame, gold: DataFrame, key: str, label: str) -> DataFrame:
+    """One row: n, n_right, any_correct: keys of gold with at least one right tag."""
+    right = gold.select(key, label).join(predicted.select(key, label), [key, label], "left_semi").select(key).distinct().withColumn("__r", F.lit(1))
+    n = gold.select(key).distinct().join(right, key, "left").agg(F.count(F.lit(1)).alias("n"), F.count("__r").alias("n_right"))
+    return n.withColumn("any_correct", F.coalesce(F.round(F.try_divide("n_right", "n"), 4), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval  # noqa: F401  they register their queries
+from . import evaluation, reports, retrieval, texts  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

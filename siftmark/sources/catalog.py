@@ -66,14 +66,19 @@ def prompt_rows(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "ord bigint, prompt string")
 
 
-def descriptions(spark: SparkSession, path: str) -> DataFrame:
-    """label, text of a JSON object {label: {label, description}}; entries that aren't objects and those whose name starts
-    with an underscore go."""
-    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("label", "entry"))
+def described(texts: DataFrame) -> DataFrame:
+    """label, text of JSON objects {label: {label, description}} in `value`; entries that aren't objects and those whose name
+    starts with an underscore go."""
+    entries = texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("label", "entry"))
     parsed = entries.select("label", F.from_json("entry", "struct<label:string,description:string>").alias("e")).where(~F.col("label").startswith("_"))
     return parsed.where("e.label IS NOT NULL OR e.description IS NOT NULL").select("label", F.concat_ws(" ", "e.label", "e.description").alias("text"))
 
 
+def descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a JSON file."""
+    return described(spark.read.text(path, wholetext=True))
+
+
 def dictionary(spark: SparkSession, entries: dict[str, object], facet: str) -> DataFrame:
     """facet, term, ord of a configured vocabulary: keys, texts, and the keys and texts one container deeper; stripped, the
     first of equal terms stands."""
