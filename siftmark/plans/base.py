@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import STOP_WORDS, C
+from siftmark.functions.text import STOP_WORDS, A, C
 from siftmark.operators import ranking as rk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,8 +73,8 @@ class Data:
 
     @cached_property
     def prompt_words(self) -> DataFrame:
-        """doc_id, lemma: a row each time a request has a lemma."""
-        return C.rows(self.prompts, ["doc_id"], "text")
+        """doc_id, lemma: a row each time a request has a lemma, short ones too: what the gate and the flat ranker ask with."""
+        return A.rows(self.prompts, ["doc_id"], "text")
 
     @cached_property
     def catalog_lemmas(self) -> DataFrame:
@@ -88,13 +88,21 @@ class Data:
     def task_stats(self) -> DataFrame:
         return rk.label_statistics(self.catalog_lemmas, "task", self.tasks)
 
+    @cached_property
+    def catalog_words(self) -> DataFrame:
+        return A.rows(self.catalog, ["doc_id", "task", "bucket"], "text", distinct=True)
+
+    @cached_property
+    def word_stats(self) -> DataFrame:
+        return rk.label_statistics(self.catalog_words, "task", self.tasks)
+
     @cached_property
     def bucket_stats(self) -> DataFrame:
-        return rk.label_statistics(self.catalog_lemmas, "bucket", self.buckets)
+        return rk.label_statistics(self.catalog_words, "bucket", self.buckets)
 
     @cached_property
     def flat(self) -> DataFrame:
-        return rk.dense(rk.label_scores(self.prompt_words, self.task_stats, "doc_id", "task"), self.prompts, self.tasks, "doc_id", "task")
+        return rk.dense(rk.label_scores(self.prompt_words, self.word_stats, "doc_id", "task"), self.prompts, self.tasks, "doc_id", "task")
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -135,17 +143,17 @@ STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 BENIGN = ("en", "fr")
 
 
-def _lemma_sql(key: str, source: str) -> str:
-    return rf"SELECT {key}, lemma, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS lemma FROM {source}) WHERE length(lemma) >= 3 AND lemma NOT IN ({STOPS}) GROUP BY ALL"
+def _lemma_sql(key: str, source: str, least: int = 3) -> str:
+    return rf"SELECT {key}, lemma, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS lemma FROM {source}) WHERE length(lemma) >= {least} AND lemma NOT IN ({STOPS}) GROUP BY ALL"
 
 
-def _stats_sql(label: str, dimension: str) -> str:
-    return f"SELECT lemma, {label}, count(*) AS tf, CAST(round(ln((SELECT count(*) FROM {dimension}) / count(*) OVER (PARTITION BY lemma)) * 1e6) AS BIGINT) AS idf FROM cl GROUP BY lemma, {label}"
+def _stats_sql(label: str, dimension: str, lemmas: str) -> str:
+    return f"SELECT lemma, {label}, count(*) AS tf, CAST(round(ln((SELECT count(*) FROM {dimension}) / count(*) OVER (PARTITION BY lemma)) * 1e6) AS BIGINT) AS idf FROM {lemmas} GROUP BY lemma, {label}"
 
 
-def _dense_sql(label: str, dimension: str, stats: str, weight: str) -> str:
+def _dense_sql(label: str, dimension: str, lemmas: str, stats: str, weight: str) -> str:
     return f"""SELECT p.doc_id, t.{label}, coalesce(s.score, 0) AS score FROM p CROSS JOIN (SELECT DISTINCT {label} FROM {dimension}) t
-  LEFT JOIN (SELECT doc_id, {label}, CAST(sum({weight}) AS BIGINT) AS score FROM pl JOIN {stats} USING (lemma) WHERE idf > 0 GROUP BY ALL) s ON s.doc_id = p.doc_id AND s.{label} = t.{label}"""
+  LEFT JOIN (SELECT doc_id, {label}, CAST(sum({weight}) AS BIGINT) AS score FROM {lemmas} JOIN {stats} USING (lemma) WHERE idf > 0 GROUP BY ALL) s ON s.doc_id = p.doc_id AND s.{label} = t.{label}"""
 
 
 def _best_sql(table: str, label: str) -> str:
@@ -163,12 +171,16 @@ PARTS: dict[str, tuple[str, str]] = {
     "bl": ("", _lemma_sql("item_id", "benchmark")),
     "cl": ("c lem", "SELECT lem.*, task, bucket FROM lem JOIN c USING (doc_id)"),
     "pl": ("p lem", "SELECT lem.* FROM lem JOIN p USING (doc_id)"),
+    "words": ("", _lemma_sql("doc_id", "documents", 1)),
+    "cw": ("c words", "SELECT words.*, task, bucket FROM words JOIN c USING (doc_id)"),
+    "pw": ("p words", "SELECT words.* FROM words JOIN p USING (doc_id)"),
     "idf": ("lem", "SELECT lemma, count(*) AS df, CAST(round(ln((SELECT count(DISTINCT doc_id) FROM lem) / count(*)) * 1e6) AS BIGINT) AS idf FROM lem GROUP BY lemma"),
-    "tst": ("cl tasks", _stats_sql("task", "tasks")),
-    "bst": ("cl buckets", _stats_sql("bucket", "buckets")),
-    "flat": ("p pl tst tasks", _dense_sql("task", "tasks", "tst", "n * tf * idf")),
-    "lexical": ("p pl tst tasks", _dense_sql("task", "tasks", "tst", "idf")),
-    "gate": ("p pl bst buckets", _dense_sql("bucket", "buckets", "bst", "n * tf * idf")),
+    "tst": ("cl tasks", _stats_sql("task", "tasks", "cl")),
+    "wst": ("cw tasks", _stats_sql("task", "tasks", "cw")),
+    "bst": ("cw buckets", _stats_sql("bucket", "buckets", "cw")),
+    "flat": ("p pw wst tasks", _dense_sql("task", "tasks", "pw", "wst", "n * tf * idf")),
+    "lexical": ("p pl tst tasks", _dense_sql("task", "tasks", "pl", "tst", "idf")),
+    "gate": ("p pw bst buckets", _dense_sql("bucket", "buckets", "pw", "bst", "n * tf * idf")),
     "bonus": ("gate tasks", "SELECT doc_id, task, score FROM gate JOIN tasks USING (bucket)"),
     "gold": ("p", "SELECT doc_id, task AS gold, bucket AS gold_bucket FROM p"),
     "best_flat": ("flat", _best_sql("flat", "task")),
