@@ -78,20 +78,25 @@ SENT = "server long, chunk long, keys binary, counts binary, tokens long"
 TOTALS = "chunk long, server long, totals binary, rest binary, tokens long, vocabulary long"
 
 
+def _server_of(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The server of each key, 0..n-1 in the order of keys: equal shares of the range of the upper 32 bits."""
+    return (keys >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)
+
+
 def _send(key: tuple, pdf: pd.DataFrame, servers: int) -> pd.DataFrame:
-    """A row for each server: pairs go to the servers 0..servers-1 by range, words to the next ones."""
+    """A row for each server that a key of the chunk falls to: pairs go to the servers 0..servers-1 by range, words to the next
+    ones.  There are never more rows than keys, nor work than that, however many servers the corpus needs."""
     t = tokens_of(pdf["t"].tolist(), WordHashes())
     learned = np.repeat(pdf["fold"].to_numpy() != HELD_OUT, t.lengths)
     rows, first = [], 0
     for all_keys, at, bits, n in ((t.pair_keys, t.pair, 56, servers), (t.word_keys, t.word, 64, word_servers(servers))):
         counts = np.bincount(at[learned], minlength=len(all_keys))
-        bounds = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
-        cuts = [0, *np.searchsorted(all_keys, bounds).tolist(), len(all_keys)]
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), first):
-            if b > a:
-                keys = all_keys[a:b].copy()
-                keys[1:] -= all_keys[a : b - 1]
-                rows.append((s, key[0], _pack(keys), _pack(counts[a:b]), 0))
+        server = _server_of(all_keys, bits, n)
+        cuts = [0, *(np.flatnonzero(server[1:] != server[:-1]) + 1).tolist(), len(all_keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            keys = all_keys[a:b].copy()
+            keys[1:] -= all_keys[a : b - 1]
+            rows.append((first + int(server[a]), key[0], _pack(keys), _pack(counts[a:b]), 0))
         first += n
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
     out.loc[0, "tokens"] = int(learned.sum())

@@ -189,6 +189,18 @@ def test_weights_are_learned_and_make_a_distribution():
     assert abs(w[2, 0] - 0.2) < 0.05 and abs(w[6, 0] - 0.8) < 0.05 and np.allclose(w[9], w[6])
 
 
+def test_a_chunk_sends_no_more_rows_than_keys():
+    pdf = pd.DataFrame({"t": ["a b a", "c"], "fold": [0, 0]})
+    t = op5.tokens_of(pdf["t"].tolist(), WordHashes())
+    few, many = (op5._send((7,), pdf, n) for n in (1, 10**7))
+    assert len(few) == 2 and len(many) <= len(t.pair_keys) + len(t.word_keys)
+    for sent, n in ((few, 1), (many, 10**7)):
+        assert sent["server"].is_monotonic_increasing and sent["server"].is_unique and sent["tokens"].sum() == 6
+        keys = [op5._unpack(b).cumsum() for b in sent["keys"]]
+        split = int((sent["server"] < n).sum())
+        assert np.concatenate(keys[:split]).tolist() == t.pair_keys.tolist() and np.concatenate(keys[split:]).tolist() == t.word_keys.tolist()
+
+
 def test_packing_of_numbers():
     x = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
     assert (op5._unpack(op5._pack(x)) == x).all()
