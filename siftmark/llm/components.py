@@ -27,7 +27,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for k in range(1, most_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted(least, SALTS), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        # merged, not broadcast: salts make a table that is small by its files a large one
+        met = dealt.join(salted(least, SALTS).hint("merge"), ["u", "salt"])
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), folders[k % 2])
