@@ -95,13 +95,19 @@ def salted(few: DataFrame, salts: int, salt: str = "salt") -> DataFrame:
     return few.withColumn(salt, F.explode(F.lit(list(range(salts)))))
 
 
-def likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose `node` may be among `nodes`: a filter of 2 ** 23 bits, broadcast as at most 2 ** 17 rows of 64 bits.
-    Its size is fixed; where it fills up it only lets more rows through to the join that follows."""
+def maybe(rows: DataFrame, nodes: DataFrame, out: str) -> DataFrame:
+    """rows with `out`: whether their `node` may be among `nodes`; false is certain.  By a filter of 2 ** 23 bits, broadcast
+    as at most 2 ** 17 rows of 64 bits.  Its size is fixed; where it fills up it only says true more often."""
     word, bit = F.pmod("node", F.lit(1 << 17)), F.expr("CAST(shiftrightunsigned(node, 17) & 63 AS INT)")
     bits = nodes.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    met = rows.join(F.broadcast(bits), word == F.col("__word")).where(F.expr("shiftright(__bits, CAST(shiftrightunsigned(node, 17) & 63 AS INT)) & 1 = 1"))
-    return met.drop("__word", "__bits")
+    met = F.expr("coalesce(shiftright(__bits, CAST(shiftrightunsigned(node, 17) & 63 AS INT)) & 1 = 1, false)")
+    return rows.join(F.broadcast(bits), word == F.col("__word"), "left").withColumn(out, met).drop("__word", "__bits")
+
+
+def likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose `node` may be among `nodes`, by a filter of fixed size: where it fills up it only lets more rows
+    through to the join that follows."""
+    return maybe(rows, nodes, "__met").where("__met").drop("__met")
 
 
 def release_shuffles(spark: SparkSession) -> None:

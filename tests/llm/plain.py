@@ -53,7 +53,26 @@ def components(rows, percent=85):
 
 
 def line_dedup(rows, least=50):
-    """rows of (doc_id, text) with unique ids, in order: {doc_id: text} without later runs of `least` words or more."""
+    """rows of (doc_id, text) with unique ids: {doc_id: text} without later runs of `least` words or more, of lines and then of words."""
+    return passages(whole_lines(rows, least), least)
+
+
+def passages(texts, least=50, pieces=7):
+    """{doc_id: text} without later windows of `least` words, if these hold `pieces` whole pieces: words up to one that ends a piece."""
+    first, out = {}, {}
+    for i, t in sorted(texts.items()):
+        w, gone = words(t), set()
+        ends = [x[-1] in ".,;:!?e" or ord(x[-1]) >= 0x250 or k == len(w) - 1 for k, x in enumerate(w)]
+        for a in range(len(w) - least + 1):
+            if sum(ends[a : a + least]) - (a > 0 and not ends[a - 1]) >= pieces and first.setdefault(tuple(w[a : a + least]), (i, a)) != (i, a):
+                gone |= set(range(a, a + least))
+        tokens = re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+", t)
+        out[i] = "".join(x for k, x in enumerate(tokens) if k not in gone) if gone else t
+    return out
+
+
+def whole_lines(rows, least=50):
+    """{doc_id: text} without later runs of whole lines of `least` words or more."""
     docs = {i: (t or "").split("\n") for i, t in sorted(rows)}
     full = {i: [(k, x.strip(" \t\n\x0b\f\r"), len(words(x))) for k, x in enumerate(ls) if words(x)] for i, ls in docs.items()}
     first, gone = {}, {i: set() for i in docs}

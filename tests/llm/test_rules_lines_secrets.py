@@ -104,6 +104,32 @@ def test_runs_across_lines_and_inside_one_document(spark):
     assert plain.line_dedup(docs) == got
 
 
+def test_passages_inside_lines(spark):
+    """Passages that start and end inside lines, across line borders, three documents of which two share more than the first, and
+    one of another script; texts that share less than 50 words stay."""
+    w = [f"w{i}e" if i % 3 else f"w{i}x," for i in range(200)]
+    other = [f"{i}слово" for i in range(60)]
+    own = lambda k, n: " ".join(f"own{k}n{i}e" for i in range(n))
+    docs = [
+        (1, own(1, 5) + " " + " ".join(w[:60]) + " " + own(2, 9)), (2, own(3, 30) + "  " + " ".join(w[:30]) + "\n \n" + "\t".join(w[30:90]) + " " + own(4, 4)),
+        (3, own(5, 3) + "\n" + own(6, 2) + " " + " ".join(w[5:95]) + "\nend"), (4, own(7, 4) + " " + " ".join(w[100:149]) + " " + own(8, 4)),
+        (5, own(9, 4) + " " + " ".join(w[100:149]) + " " + own(10, 4)), (6, "a " + " ".join(other)), (7, "b " + " ".join(other) + " c"), (8, " ".join(w[:60] + ["own"] + w[:60])),
+        (9, " ".join(w[:60])), (10, ""),
+    ]
+    got = {r["doc_id"]: r for r in op4.line_dedup(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == plain.line_dedup(docs)
+    texts = dict(docs)
+    assert all(got[i]["text"] == texts[i] for i in (1, 4, 5, 6, 10)) and got[9]["text"] == "" and got[7]["text"] == "b c" and got[8]["text"].split() == ["own"]
+    assert got[3]["text"] == own(5, 3) + "\n" + own(6, 2) + " " + " ".join(w[90:95]) + "\nend"
+    assert got[2]["text"] == own(3, 30) + "\t" + "\t".join(w[60:90]) + " " + own(4, 4) and got[2]["__removed"] == 60
+
+
+def test_no_passage_is_left(spark, documents):
+    """Of what line_dedup keeps, no two documents share a run of 50 words that holds seven pieces."""
+    left = {r["doc_id"]: r["text"] for r in op4.line_dedup(documents).collect()}
+    assert plain.passages(left) == left or sum(plain.passages(left)[i] != t for i, t in left.items()) < 5  # joined ends may meet anew
+
+
 def test_lines_without_python(spark, sf_dir):
     plan = op4.op4_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
