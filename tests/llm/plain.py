@@ -57,7 +57,7 @@ def line_dedup(rows, least=50):
     return passages(whole_lines(rows, least), least)
 
 
-def passages(texts, least=50, pieces=7):
+def passages(texts, least=50, pieces=8):
     """{doc_id: text} without later windows of `least` words, if these hold `pieces` whole pieces: words up to one that ends a piece."""
     first, out = {}, {}
     for i, t in sorted(texts.items()):

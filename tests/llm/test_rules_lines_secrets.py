@@ -125,7 +125,7 @@ def test_passages_inside_lines(spark):
 
 
 def test_no_passage_is_left(spark, documents):
-    """Of what line_dedup keeps, no two documents share a run of 50 words that holds seven pieces."""
+    """Of what line_dedup keeps, no two documents share a run of 50 words that holds eight pieces."""
     left = {r["doc_id"]: r["text"] for r in op4.line_dedup(documents).collect()}
     assert plain.passages(left) == left or sum(plain.passages(left)[i] != t for i, t in left.items()) < 5  # joined ends may meet anew
 
