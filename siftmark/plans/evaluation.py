@@ -10,6 +10,7 @@ from siftmark.operators import evaluation as ev
 from siftmark.operators import ranking as rk
 from siftmark.operators import tagging as tg
 from siftmark.operators import vector as vc
+from siftmark.operators.sparse import sparse_nearest
 
 from .base import PARTS, Data, query, sql
 from .retrieval import cosine
@@ -204,8 +205,9 @@ def satisfy_metrics(x: Data) -> DataFrame:
     )
     rows = catalog_rows(x).select("doc_id", satisfied(F.lit("open_source")).alias("open"), "task").join(x.catalog.select("doc_id", "source", "lang"), "doc_id")
     idf = rk.document_frequency(x.lemmas, "doc_id")
-    found = rk.sparse_scores(x.prompt_lemmas.withColumnRenamed("doc_id", "q"), C.rows(x.catalog, ["doc_id"], "text", distinct=True), idf, "q", "doc_id")
-    cut = rk.top_k(found, "q", "score", 200, "doc_id").drop("rank").join(rows, "doc_id").join(ask.select("q", "hard"), "q").where("NOT hard OR open")
+    postings, sizes = C.rows(x.catalog, ["doc_id"], "text", distinct=True), (x.prompts.count(), x.catalog.count())
+    found = sparse_nearest(x.prompt_lemmas.withColumnRenamed("doc_id", "q"), postings, idf, "q", "doc_id", 200, sizes)
+    cut = found.drop("rank").join(rows, "doc_id").join(ask.select("q", "hard"), "q").where("NOT hard OR open")
     top = rk.top_k(cut, "q", "score", 5, "doc_id").select("q", "doc_id", "task", "source", "lang", "rank")
     v = ask.join(top, "q", "left").where(F.size("tasks") > 0)
     one = F.col("rank") == 1
