@@ -53,6 +53,32 @@ def poisson_steps(most: int = 9) -> list[float]:
     return out
 
 
+#: Parts that a label's rows are dealt into for draws.
+DRAW_PARTS = 64
+
+
+def draws(choices: DataFrame, rows: DataFrame, q: str, label: str, key: str, value: str, seeds: list[int]) -> DataFrame:
+    """q, seed, value: of the rows whose label is among a query's choices(q, label), each pair once, the one whose digest of (seed,
+    query, key) is least, ties by key: a random draw that any engine repeats.
+
+    Where all rows of a query's labels have one value, that is what is drawn, whichever row it is: no digest is needed.  Else
+    every row has its digest, and the least of a part of a label's rows is found inside the row that holds the part."""
+    kinds = rows.groupBy(label).agg(F.collect_set(F.struct(value)).alias("__values"))  # a taxonomy
+    pools = choices.join(kinds, label).groupBy(q).agg(F.collect_list(F.struct(label, "__values")).alias("__pool"))
+    pools = pools.withColumn("__values", F.array_distinct(F.flatten("__pool.__values")))
+    seed = F.explode(F.lit(seeds)).alias("seed")
+    sure = pools.where(F.size("__values") == 1).select(q, seed, F.get("__values", 0)[value].alias(value))
+    parts = rows.groupBy(label, F.pmod(F.xxhash64(key), F.lit(DRAW_PARTS)).alias("__part")).agg(F.collect_list(F.struct(key, value)).alias("__rows"))
+    mixed = pools.where(F.size("__values") > 1).select(q, F.explode(F.col("__pool")[label]).alias(label)).join(parts, label)
+
+    def least(s: int) -> Column:
+        digest = lambda r: F.md5(F.concat_ws(":", F.lit(str(s)), F.col(q).cast("string"), r[key].cast("string")).cast("binary"))
+        return F.struct(F.lit(s).alias("seed"), F.array_min(F.transform("__rows", lambda r: F.struct(digest(r).alias("h"), r[key].alias("key"), r[value].alias("value")))).alias("least"))
+
+    each = mixed.select(q, F.inline(F.array(*(least(s) for s in seeds)))).groupBy(q, "seed").agg(F.min("least")["value"].alias(value))
+    return sure.unionByName(each)
+
+
 def bootstrap(hits: DataFrame, resamples: int = 1000, seed: int = 1234, hit: str = "hit") -> DataFrame:
     """low, high: 95 % interval of the mean of 0/1 outcomes.
 

@@ -243,10 +243,8 @@ def bootstrap_ci(x: Data) -> DataFrame:
 def random_baseline(x: Data) -> DataFrame:
     """A random catalog row of the two best labels' pools, five seeds: how often its bucket is right.  Draws are digests of seed,
     request and row, so any engine draws the same."""
-    pool = rk.top_k(x.flat, "doc_id", "score", 2, "task").select(F.col("doc_id").alias("q"), "task").join(x.catalog.select("doc_id", "task", "bucket"), "task")
-    each = pool.withColumn("seed", F.explode(F.lit([1, 2, 3, 4, 5])))
-    digest = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("q").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
-    drawn = each.groupBy("q", "seed").agg(F.min(F.struct(digest.alias("h"), "doc_id", "bucket"))["bucket"].alias("bucket"))
+    two = rk.top_k(x.flat, "doc_id", "score", 2, "task").select(F.col("doc_id").alias("q"), "task")
+    drawn = ev.draws(two, x.catalog.select("doc_id", "task", "bucket"), "q", "task", "doc_id", "bucket", [1, 2, 3, 4, 5])
     asked = x.gold.select(F.col("doc_id").alias("q"), "gold_bucket").withColumn("seed", F.explode(F.lit([1, 2, 3, 4, 5])))
     rates = asked.join(drawn, ["q", "seed"], "left").groupBy("seed").agg(F.avg(F.coalesce(F.col("bucket") == F.col("gold_bucket"), F.lit(False)).cast("int")).alias("r"))
     return rates.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg("r"), 4).alias("rate"))
